@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from braidwork.llm import chunks, grouping, leaks, lookalike
+from braidwork.llm import chunks, grouping, leaks, lookalike, overlap
 from braidwork.session import table
 
 QUERIES = {
+    "p1_found": lambda spark, d: overlap.overlapping_pairs(table(spark, d, "qna_pairs")),
+    "p1_report": lambda spark, d: overlap.overlap_report(table(spark, d, "qna_pairs")),
     "p2_found": lambda spark, d: chunks.cut_kinds(table(spark, d, "commits")),
     "p2_pieces": lambda spark, d: chunks.long_diff_pieces(table(spark, d, "commits")),
     "p6_found": lambda spark, d: grouping.straddling(table(spark, d, "snapshots"), table(spark, d, "repo_links")),
