@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.llm import chunks, grouping, leaks, lookalike, overlap
+from braidwork.llm import chunks, defects, grouping, leaks, lookalike, overlap, vptree
 from braidwork.session import table
 
 QUERIES = {
@@ -10,6 +10,11 @@ QUERIES = {
     "p1_report": lambda spark, d: overlap.overlap_report(table(spark, d, "qna_pairs")),
     "p2_found": lambda spark, d: chunks.cut_kinds(table(spark, d, "commits")),
     "p2_pieces": lambda spark, d: chunks.long_diff_pieces(table(spark, d, "commits")),
+    "p3_found": lambda spark, d: defects.defective_pairs(table(spark, d, "qna_pairs")),
+    "p3_labels": lambda spark, d: defects.defect_labels(table(spark, d, "qna_pairs")),
+    "p4_found": lambda spark, d: vptree.similar_pairs(table(spark, d, "commits")),
+    "p4_nearest_diff": lambda spark, d: vptree.nearest_rows(table(spark, d, "commits"), "diff_embedding"),
+    "p4_nearest_state": lambda spark, d: vptree.nearest_rows(table(spark, d, "commits"), "repo_state_embedding"),
     "p6_found": lambda spark, d: grouping.straddling(table(spark, d, "snapshots"), table(spark, d, "repo_links")),
     "p6_split": lambda spark, d: grouping.grouped_split(table(spark, d, "snapshots"), table(spark, d, "repo_links")),
     "p9_found": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id"),
