@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,10 +21,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
         "spark.driver.host": "127.0.0.1",
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]").appName("braidwork")
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, so that Python workers can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_braidwork_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    base = os.path.join(tempfile.mkdtemp(prefix="braidwork-"), "braidwork")
+    context.addPyFile(shutil.make_archive(base, "zip", here.parent, here.name))
+    context._braidwork_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
