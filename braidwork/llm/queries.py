@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.llm import chunks, defects, grouping, leaks, lookalike, overlap, vptree
+from braidwork.llm import chunks, defects, grouping, handwritten, leaks, lookalike, overlap, vptree
 from braidwork.session import table
 
 QUERIES = {
@@ -17,6 +17,9 @@ QUERIES = {
     "p4_nearest_state": lambda spark, d: vptree.nearest_rows(table(spark, d, "commits"), "repo_state_embedding"),
     "p6_found": lambda spark, d: grouping.straddling(table(spark, d, "snapshots"), table(spark, d, "repo_links")),
     "p6_split": lambda spark, d: grouping.grouped_split(table(spark, d, "snapshots"), table(spark, d, "repo_links")),
+    "p7_found": lambda spark, d: handwritten.file_kinds(table(spark, d, "file_changes"), table(spark, d, "blobs")).select("repo_id", "path"),
+    "p7_kinds": lambda spark, d: handwritten.file_kinds(table(spark, d, "file_changes"), table(spark, d, "blobs")),
+    "p7_hand_written": lambda spark, d: handwritten.hand_written(table(spark, d, "file_changes"), table(spark, d, "blobs"), table(spark, d, "snapshots")),
     "p9_found": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id"),
     "p9_proximity": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"), slop=2, least=5),
     "p10_found": lambda spark, d: lookalike.look_alike_pairs(table(spark, d, "documents")),
