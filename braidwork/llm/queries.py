@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.llm import chunks, defects, grouping, handwritten, leaks, lookalike, overlap, vptree
+from braidwork.llm import chunks, defects, grouping, handwritten, leaks, lookalike, overlap, packing, vptree
 from braidwork.session import table
 
 QUERIES = {
@@ -20,6 +20,8 @@ QUERIES = {
     "p7_found": lambda spark, d: handwritten.file_kinds(table(spark, d, "file_changes"), table(spark, d, "blobs")).select("repo_id", "path"),
     "p7_kinds": lambda spark, d: handwritten.file_kinds(table(spark, d, "file_changes"), table(spark, d, "blobs")),
     "p7_hand_written": lambda spark, d: handwritten.hand_written(table(spark, d, "file_changes"), table(spark, d, "blobs"), table(spark, d, "snapshots")),
+    "p8_windows": lambda spark, d: packing.document_windows(table(spark, d, "documents")),
+    "p8_report": lambda spark, d: packing.packing_report(table(spark, d, "documents")),
     "p9_found": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id"),
     "p9_proximity": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"), slop=2, least=5),
     "p10_found": lambda spark, d: lookalike.look_alike_pairs(table(spark, d, "documents")),
