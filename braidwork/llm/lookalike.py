@@ -94,16 +94,14 @@ def script_of(char: str) -> int:
     return GREK if "Ͱ" <= char <= "Ͽ" else LATIN
 
 
-def bigrams_of(text: str) -> Counter:
-    """Bigrams of words whose letters all stand for one script beyond doubt."""
-    found: Counter = Counter()
-    for word in _WORD.findall(skeleton(text)):
-        scripts = {script_of(c) for c in word if c not in READINGS}
-        if len(scripts) == 1:
-            script = scripts.pop()
-            read = [READINGS.get(c, {}).get(script, c) for c in word]
-            found.update(zip(["^", *read], read, strict=False))
-    return found
+def bigrams_of(word: str) -> Counter:
+    """Bigrams of a skeleton's word if its letters stand for one script beyond doubt."""
+    scripts = {script_of(c) for c in word if c not in READINGS}
+    if len(scripts) != 1:
+        return Counter()
+    script = scripts.pop()
+    read = [READINGS.get(c, {}).get(script, c) for c in word]
+    return Counter(zip(["^", *read], read, strict=False))
 
 
 class Reader:
@@ -151,15 +149,26 @@ class Reader:
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter = Counter()
+    words: Counter = Counter()
+
+    def flush() -> None:
+        for word, n in words.items():
+            for pair, k in bigrams_of(word).items():
+                total[pair] += n * k
+        words.clear()
+
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            if text and not text.isascii():
-                total.update(bigrams_of(text))
+            if text:
+                words.update(_WORD.findall(skeleton(text)))
+        if len(words) > 200_000:
+            flush()
+    flush()
     yield pa.RecordBatch.from_pydict({"a": [a for a, _ in total], "b": [b for _, b in total], "n": list(total.values())}, pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
 
 
 def bigram_model(documents: DataFrame, text: str = "text") -> dict[tuple[str, str], int]:
-    """Bigram counts over all texts that hold a non-ASCII character, of Latin, Cyrillic and Greek letters.
+    """Bigram counts of Latin, Cyrillic and Greek letters over all texts.
 
     The model is bounded by its alphabet, not by the corpus: pairs that involve other scripts have
     one reading only and are left out before they reach the driver.

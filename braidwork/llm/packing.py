@@ -26,7 +26,7 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 # Fixed value: how the public byte-level vocabulary cuts a text before merging.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RANK_BUCKETS = 256
-EVENNESS = 0.001  # how far prices may part from the lengths: more covers lengths sooner, less wastes less room
+EVENNESS = 0.05  # how far prices may part from the lengths: more weaves frequent lengths in sooner, less wastes less room
 
 _ENCODERS: dict = {}
 
@@ -81,24 +81,28 @@ def best_filling(price: np.ndarray, lengths: np.ndarray, capacity: int, most: np
     return counts
 
 
-def configuration_lp(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 150) -> list[tuple[dict[int, int], float]]:
-    """Fillings and how often each is used, covering the demand in fractions about evenly."""
+def configuration_lp(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[dict[int, int], float]]:
+    """Fillings and how often each is used, in fractions, that together cover the demand at most once.
+
+    A length's price is its size times a weight that grows with the room its uncovered items still
+    need, so a length that many items share is woven into fillings from the start.
+    """
+    mass = lengths * demand / max(1.0, float((lengths * demand).max()))
     windows = float((lengths * demand).sum()) / capacity
-    weight = np.ones(len(lengths))
-    covered = np.zeros(len(lengths))
+    left = demand.astype(float).copy()
     found: dict[tuple, float] = {}
-    for turn in range(1, rounds + 1):
-        price = lengths * weight
-        filling = best_filling(price, lengths, capacity)
-        step = min([windows / rounds * 4, *(demand[k] / n for k, n in filling.items())])
-        if step <= 0:
+    for _ in range(rounds):
+        live = np.flatnonzero(left > 1e-9)
+        if not len(live):
             break
+        weight = np.exp(EVENNESS * mass[live] * left[live] / demand[live])
+        filling = {int(live[k]): n for k, n in best_filling(lengths[live] * weight, lengths[live], capacity).items()}
+        step = min(max(1.0, windows / rounds * 4), *(left[k] / n for k, n in filling.items()), windows)
         for k, n in filling.items():
-            covered[k] += step * n / demand[k]
-        found[tuple(sorted(filling.items()))] = found.get(tuple(sorted(filling.items())), 0.0) + step
-        weight = np.exp(-EVENNESS * (covered - covered.mean()))
-    top = max(1.0, float(covered.max()))
-    return [(dict(key), used / top) for key, used in sorted(found.items(), key=lambda x: -x[1])]
+            left[k] -= step * n
+        key = tuple(sorted(filling.items()))
+        found[key] = found.get(key, 0.0) + step
+    return [(dict(key), used) for key, used in sorted(found.items(), key=lambda x: -x[1])]
 
 
 def window_plan(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
