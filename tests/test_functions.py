@@ -62,10 +62,10 @@ def test_similarity_scores():
 
 @pytest.mark.parametrize(
     ("expected", "got", "kind"),
-    [("x", "", "Empty/Truncated"), ("x", "y" * 101, "Hallucination"), ("abcdefghij", "abcdefghik", "Near-Miss"), ("alpha", "((", "Syntax Error"), ("foo(1)", "barbaz(1)", "Wrong Identifier"), ("f(1)", "f(92)", "Wrong Literal"), ("[1, 2]", "'zzzz'", "Type Mismatch")],
+    [("x", "", "Empty/Truncated"), ("x", "y" * 101, "Hallucination"), ("abcdefghij", "abcdefghik", "Near-Miss"), ("alpha", "((", "Syntax Error"), ("foo(1)", "barbaz(1)", "Wrong Identifier"), ("f(1)", "f(92)", "Wrong Literal"), ("[1, 1]", "(1, 1, 1)", "Type Mismatch")],
 )
 def test_error_kinds(expected, got, kind):
-    closeness = 0.0 if kind in ("Wrong Identifier", "Wrong Literal") else None
+    closeness = 0.0 if kind in ("Wrong Identifier", "Wrong Literal", "Type Mismatch") else None
     assert scores.error_kind(expected, got, closeness) == kind
 
 
