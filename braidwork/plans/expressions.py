@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from braidwork.functions import scores as score_functions
 from braidwork.functions import text, vectors
-from braidwork.operators import extraction, retrieval
+from braidwork.operators import extraction, geometry, retrieval
 from braidwork.plans.base import SQL_C, SQL_Q, SQL_T, commits, qna, texts
 from braidwork.plans.summaries import _answers
 from braidwork.session import table
@@ -195,6 +195,18 @@ PAIRS = {
         """with t as (select doc_id, length(text) as n from documents where length(text) > 0 and length(text) < 2000), w as (select doc_id, n, unnest(range(0, greatest(0, ceil((n - 100) / 80.0)::int) + 1)) as i from t)
         select doc_id, cast(i as int) as i, cast(i * 80 + 1 as int) as first, cast(least(i * 80 + 100, n) as int) as last from w where least(100, n - i * 80) >= 16""",
     ),
+    "v_block_similarity": (
+        lambda s, d: geometry.block_similarity(table(s, d, "embeddings"), "vec_id", "embedding", table(s, d, "embeddings").where("vec_id % 20 = 0")).groupBy("a").agg(F.round(F.avg("cosine"), 6).alias("mean_cosine")),
+        """with q as (select vec_id as a, embedding::double[] as v from embeddings where vec_id % 20 = 0), e as (select vec_id as b, embedding::double[] as w from embeddings)
+        select a, round(avg(list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w))), 6) as mean_cosine from q, e where a <> b group by a""",
+    ),
+    "v_diversity": (
+        lambda s, d: geometry.diversity(table(s, d, "embeddings"), "vec_id", "embedding", table(s, d, "embeddings").where("vec_id % 20 = 0")).select(F.round("mean_cosine", 6).alias("mean_cosine"), "n_pairs"),
+        """with m as (select i, avg(embedding[i]::double) as m from embeddings, range(1, 65) r(i) group by i), l as (select list(m order by i) as m from m),
+        e as (select vec_id, list_transform(range(1, 65), lambda i: embedding[i]::double - l.m[i]) as v from embeddings, l)
+        select round(avg(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))), 6) as mean_cosine, count(*) as n_pairs from e a, e b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id""",
+    ),
+    "m_principal_axes": (lambda s, d: geometry.principal_axes(table(s, d, "embeddings"), "vec_id", "embedding").groupBy("axis").agg(F.count("*").alias("n"), F.round(F.var_pop("position"), 4).alias("variance")), None),
     "r_bm25": (_bm25, SQL_BM25),
     "r_dense_top_k": (_dense, SQL_DENSE),
     "r_fused": (_fused, SQL_FUSED),

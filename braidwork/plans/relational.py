@@ -183,6 +183,11 @@ PAIRS = {
         f"""with {SQL_C}, a as (select repo_id, max(commit_index) as i from c where in_repo_split = 'train' group by 1)
         select p.repo_id, count(distinct (test_file, coalesce(test_function, ''), coalesce(md5(target), ''))) as n_pairs from qna_pairs p join a using (repo_id) where commit_index <= i group by 1""",
     ),
+    "f_fork_chain": (
+        lambda s, d: joins.chain_hits(table(s, d, "repo_links").where("link_kind in ('fork_of', 'renamed_to')"), "repo_id", "linked_repo_id", commits(s, d).where("cross_repo_split = 'train'").select("repo_id")),
+        """with recursive l as (select distinct repo_id, linked_repo_id as p from repo_links where link_kind in ('fork_of', 'renamed_to')), r as (select repo_id, p from l union select r.repo_id, l.p from r join l on r.p = l.repo_id)
+        select distinct repo_id from r where p in (select repo_id from commits where cross_repo_split = 'train')""",
+    ),
     "j_late_fetch": (
         _late_fetch,
         f"""with {SQL_Q}, k as (select qna_id from q qualify row_number() over (partition by repo_id order by commit_index, qna_id) = 1)

@@ -64,4 +64,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
     df.write.parquet(path)
+    context = spark.sparkContext
+    context._braidwork_stored = [*getattr(context, "_braidwork_stored", []), path]
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that `stored` wrote in this context; call it when no result that reads them is still wanted."""
+    context = spark.sparkContext
+    paths = getattr(context, "_braidwork_stored", [])
+    for path in paths:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    context._braidwork_stored = []
+    return len(paths)

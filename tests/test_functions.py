@@ -202,3 +202,15 @@ def test_other_table_functions():
     sha = "a" * 40
     assert extraction.blame_lines(f"{sha} 1 2 1\nauthor x\n\tline") == [(2, sha)]
     assert extraction.numstat_lines(f"{sha}\n3\t1\tx.py\n-\t-\tb.bin") == [(sha, 3, 1, "x.py"), (sha, 0, 0, "b.bin")]
+
+
+def test_principal_axes_match_numpy(spark):
+    from braidwork.operators import geometry
+
+    x = np.random.default_rng(3).normal(size=(60, 5)) * [5, 3, 1, 1, 1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    got = geometry.principal_axes(df, "id", "v").toPandas().pivot(index="id", columns="axis", values="position").to_numpy()
+    s = np.linalg.svd(x - x.mean(axis=0), compute_uv=False)
+    assert np.allclose(np.sqrt((got**2).sum(axis=0)), s[:2])
+    with pytest.raises(ValueError):
+        geometry.block_similarity(spark.range(10_001).select("id", F.array(F.lit(1.0)).alias("v")), "id", "v", spark.range(10_001))
