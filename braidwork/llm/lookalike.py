@@ -209,14 +209,17 @@ def look_alike_pairs(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     """(doc_id_a, doc_id_b): documents of one look whose strings differ, smaller id first.
 
     Classes with a single string, copies under any number of ids included, are dropped by an
-    aggregate before the join, so a hot group of exact copies never meets itself.
+    aggregate first. Strings, not documents, are then paired, and each pair of strings is expanded
+    to its documents: copies of one string never meet each other, and only results are emitted.
     """
     from braidwork.session import cut_lineage
 
     member = cut_lineage(look_classes(documents, doc_id, text))
-    strings = member.groupBy("look_class", "text_md5").agg(F.count("*").alias("n"))
+    strings = member.select("look_class", "text_md5").distinct()
     mixed = strings.groupBy("look_class").agg(F.count("*").alias("n_strings")).where("n_strings > 1").select("look_class")
-    rows = member.join(mixed, "look_class", "left_semi")
-    other = rows.select("look_class", F.col("doc_id").alias("doc_id_b"), F.col("text_md5").alias("md5_b"))
-    pairs = rows.join(other, "look_class").where((F.col("text_md5") != F.col("md5_b")) & (F.col("doc_id") < F.col("doc_id_b")))
-    return pairs.select(F.col("doc_id").alias("doc_id_a"), "doc_id_b").distinct()
+    some = strings.join(mixed, "look_class", "left_semi")
+    other = some.select("look_class", F.col("text_md5").alias("md5_b"))
+    looks = some.withColumnRenamed("text_md5", "md5_a").join(other, "look_class").where("md5_a < md5_b").select("md5_a", "md5_b")
+    a, b = (member.select(F.col("text_md5").alias(f"md5_{x}"), F.col("doc_id").alias(f"id_{x}")) for x in "ab")
+    pairs = looks.join(a, "md5_a").join(b, "md5_b")
+    return pairs.select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b")).where("doc_id_a < doc_id_b").distinct()
