@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text (problem 9).
 
-Training tokens are stored once as a table; its postings (term, doc, position) of the terms that
-occur in test items form a distributed positional inverted index. Each 15-word window of an item
-is looked up by its rarest term; the lists of its next rarest terms, shifted by their offsets, are
-intersected with the hits, and what is left is compared word by word.
+Training tokens are stored once as a positional inverted index, distributed by document: a shard
+holds the postings of its own documents, so a phrase is looked up without any shuffle. Each 15-word
+window of a test item is looked up by the term that is rarest in the shard; the lists of its next
+rarest terms, shifted by their offsets, are intersected with it, and what is left is compared word
+by word.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,7 +23,8 @@ from braidwork.llm.lookalike import skeleton
 from braidwork.session import stored
 
 WINDOW = 15
-VOCABULARY_BROADCAST_ROWS = 200_000
+SHARD_TOKENS = 250_000  # tokens in a shard, about; a longer text is a shard of its own
+ITEMS_AT_ONCE = 5_000  # test items that travel to the shards together; more are searched in blocks
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"""</?[a-zA-Z][a-zA-Z0-9]{0,15}(?:\s+[a-zA-Z-]{1,30}(?:=(?:"[^"<>]*"|'[^'<>]*'|[^\s<>"']+))?)*\s*/?>""")
@@ -53,54 +54,128 @@ class _Hasher(dict):
         return value
 
 
-def token_table(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row_id, variant, terms): hashed words; variant 1 leaves out marks at line starts and is there only if it differs."""
-    schema = pa.schema([("row_id", pa.int64()), ("variant", pa.int32()), ("terms", pa.list_(pa.int64()))])
+INDEX = pa.schema([(c, pa.binary()) for c in ("doc_ids", "starts", "terms", "codes", "offsets", "places")])
+INDEX_SQL = ", ".join(f"{c} binary" for c in INDEX.names)
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _shard(ids: list[int], lists: list[np.ndarray]) -> list[bytes]:
+    """Postings of some documents: places[offsets[k]:offsets[k + 1]] are the places of terms[k], ascending."""
+    tokens = np.concatenate(lists)
+    terms, codes = np.unique(tokens, return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=len(terms)))))
+    places = np.argsort(codes, kind="stable")
+    return [np.asarray(x, dtype=t).tobytes() for x, t in ((ids, "<i8"), (starts, "<i8"), (terms, "<i8"), (codes, "<i4"), (offsets, "<i8"), (places, "<i4"))]
+
+
+def positional_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per shard. A document has a second reading, without marks at line starts, where that differs.
+
+    Null, empty and short texts hold no window and are left out.
+    """
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term = _Hasher()
+        ids: list[int] = []
+        lists: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            ids, variants, lists = [], [], []
             for row, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not value:
+                kept = words(value, True) if value else []
+                if len(kept) < WINDOW:
                     continue
-                kept = words(value, True)
-                if len(kept) >= WINDOW:
-                    ids.append(row), variants.append(0), lists.append([term[w] for w in kept])
-                    bare = words(value, False)
-                    if len(bare) != len(kept):
-                        ids.append(row), variants.append(1), lists.append([term[w] for w in bare])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(variants, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
-
-    return df.select(F.col(row_id).cast("long"), F.col(text)).mapInArrow(tokens, "row_id long, variant int, terms array<long>")
-
-
-def _anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per window of an item its three rarest terms, rarest first."""
-    for frame in frames:
-        out = []
-        for item, terms, freq in zip(frame.row_id, frame.terms, frame.freq, strict=True):
-            terms, freq = np.asarray(terms), np.asarray(freq)
-            seen = set()
-            for start in range(len(terms) - WINDOW + 1):
-                best = start + np.argsort(freq[start : start + WINDOW], kind="stable")[:3]
-                key = tuple(int(p) for p in best)
-                if key not in seen:
-                    seen.add(key)
-                    out.append((item, *key, *(int(terms[p]) for p in key)))
-        yield pd.DataFrame(out, columns=["item_id", "p1", "p2", "p3", "t1", "t2", "t3"])
-
-
-def _longest_run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        runs = []
-        for doc, item, diag in zip(frame.terms, frame.item_terms, frame.diag, strict=True):
-            low = max(0, -diag)
-            high = min(len(item), len(doc) - diag)
-            same = np.concatenate(([False], np.asarray(doc[low + diag : high + diag]) == np.asarray(item[low:high]), [False]))
+                bare = words(value, False)
+                for reading in [kept] if len(bare) == len(kept) else [kept, bare]:
+                    if reading:
+                        ids.append(row)
+                        lists.append(np.array([term[w] for w in reading], dtype=np.int64))
+                        size += len(reading)
+                if size >= SHARD_TOKENS:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _shard(ids, lists)], schema=INDEX)
+                    ids, lists, size = [], [], 0
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _shard(ids, lists)], schema=INDEX)
+
+    return documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), text).mapInArrow(build, INDEX_SQL)
+
+
+class Shard:
+    def __init__(self, packed: list[bytes]):
+        kinds = ("<i8", "<i8", "<i8", "<i4", "<i8", "<i4")
+        self.doc_ids, self.starts, self.terms, self.codes, self.offsets, self.places = (np.frombuffer(b, dtype=t) for b, t in zip(packed, kinds, strict=True))
+
+    def codes_of(self, terms: np.ndarray) -> np.ndarray:
+        """Ranks of terms in this shard, -1 for those it lacks."""
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
+
+    def list_of(self, code: int) -> np.ndarray:
+        return self.places[self.offsets[code] : self.offsets[code + 1]]
+
+    def begins(self, codes: np.ndarray, slop: int) -> np.ndarray:
+        """Places at which the item would begin, by the rarest three terms of each of its windows."""
+        if len(codes) < WINDOW:
+            return np.empty(0, np.int64)
+        count = np.where(codes >= 0, np.diff(self.offsets)[codes], 0)
+        view = np.lib.stride_tricks.sliding_window_view(count, WINDOW)
+        rare = np.argsort(view, axis=1, kind="stable")[:, :3] + np.arange(len(view))[:, None]
+        rare = rare[(view > 0).all(axis=1)] if not slop else rare[count[rare].all(axis=1)]
+        found = [np.empty(0, np.int64)]
+        for one, two, three in np.unique(rare, axis=0):
+            hits = self.list_of(codes[one]).astype(np.int64) - one
+            for other in (two, three):
+                if not len(hits):
+                    break
+                shifted = self.list_of(codes[other])
+                at = np.searchsorted(shifted, hits + other - slop)
+                near = shifted[np.minimum(at, len(shifted) - 1)]
+                hits = hits[(at < len(shifted)) & (near <= hits + other + slop)]
+            if len(hits):
+                found.append(hits)
+                # the document is that of the rarest term; it is found again from the place of that term
+                found[-1] = np.stack([hits, hits + one], axis=1).ravel()
+        return np.concatenate(found)
+
+    def runs(self, codes: np.ndarray, slop: int) -> dict[int, int]:
+        """Longest run of the item's words, by position in doc_ids."""
+        pairs = self.begins(codes, slop).reshape(-1, 2)
+        best: dict[int, int] = {}
+        if not len(pairs):
+            return best
+        docs = np.searchsorted(self.starts, pairs[:, 1], side="right") - 1
+        for begin, doc in np.unique(np.stack([pairs[:, 0], docs], axis=1), axis=0):
+            low, high = max(0, self.starts[doc] - begin), min(len(codes), self.starts[doc + 1] - begin)
+            same = np.concatenate(([False], self.codes[begin + low : begin + high] == codes[low:high], [False]))
             edges = np.flatnonzero(np.diff(same.astype(np.int8)))
-            runs.append(int((edges[1::2] - edges[::2]).max()) if len(edges) else 0)
-        yield pd.DataFrame({"doc_id": frame.doc_id, "item_id": frame.item_id, "n_words": runs})
+            run = int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
+            best[int(doc)] = max(best.get(int(doc), 0), run)
+        return best
+
+
+def search(index: DataFrame, items: list[tuple[int, np.ndarray]], slop: int) -> DataFrame:
+    """(doc_id, item_id, n_words) of a block of items in every shard."""
+    shared = index.sparkSession.sparkContext.broadcast(items)
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32())])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                shard = Shard([batch.column(i)[row].as_py() for i in range(len(INDEX))])
+                rows = [(int(shard.doc_ids[doc]), item, run) for item, terms in shared.value for doc, run in shard.runs(shard.codes_of(terms), slop).items()]
+                columns = list(zip(*rows, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return index.mapInArrow(look, "doc_id long, item_id long, n_words int")
+
+
+def item_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[tuple[int, np.ndarray]]:
+    """Hashed words of the stated test set; repeated ids count once, items without a window not at all."""
+    term, out = _Hasher(), {}
+    for row in items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(item_id, text).toLocalIterator():
+        read = words(row[1], True)
+        if len(read) >= WINDOW:
+            out.setdefault(int(row[0]), np.array([term[w] for w in read], dtype=np.int64))
+    return sorted(out.items(), key=lambda x: x[0])
 
 
 def leaks(documents: DataFrame, items: DataFrame, slop: int = 0, least: int = WINDOW) -> DataFrame:
@@ -109,35 +184,12 @@ def leaks(documents: DataFrame, items: DataFrame, slop: int = 0, least: int = WI
     slop 0 gives exact phrases. With slop > 0 the three rarest terms of a window may each lie up to
     slop words off their place (proximity match) and n_words may be as low as `least`.
     Null, empty and shorter texts hold no window and match nothing; rows that repeat count once.
+    Items are a stated query set: they go to the shards in blocks of ITEMS_AT_ONCE.
     """
-    tokens = stored(token_table(documents, "doc_id", "text"), "leak-tokens")
-    item_tokens = stored(token_table(items, "item_id", "text"), "leak-items").where("variant = 0").dropDuplicates(["row_id"])
-    item_terms = item_tokens.select("row_id", F.posexplode("terms").alias("pos", "term"))
-    vocabulary = item_terms.select("term").distinct()
-    small = vocabulary.count() <= VOCABULARY_BROADCAST_ROWS
-    exploded = tokens.select(F.col("row_id").alias("doc_id"), "variant", F.posexplode("terms").alias("pos", "term"))
-    index = stored(exploded.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi"), "leak-postings")
-
-    frequency = index.groupBy("term").agg(F.count("*").alias("freq"))
-    known = item_terms.join(frequency, "term", "left").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", F.coalesce("freq", F.lit(0)).alias("freq")))).alias("l"))
-    known = known.select("row_id", F.col("l.term").alias("terms"), F.col("l.freq").alias("freq"))
-    anchors = stored(known.mapInPandas(_anchors, "item_id long, p1 int, p2 int, p3 int, t1 long, t2 long, t3 long"), "leak-anchors")
-
-    def lists(n: int) -> DataFrame:
-        wanted = anchors.select(F.col(f"t{n}").alias("term")).distinct()
-        return index.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
-
-    first = lists(1).join(anchors, F.col("term") == F.col("t1")).select("doc_id", "variant", "item_id", (F.col("pos") - F.col("p1")).alias("diag"), "p2", "p3", "t2", "t3").distinct()
-    hits = first
-    for n in (2, 3):
-        shifted = lists(n).select("doc_id", "variant", F.col("term").alias(f"t{n}"), F.col("pos").alias("q"))
-        place = F.col("diag") + F.col(f"p{n}")
-        if slop:
-            hits = hits.join(shifted, ["doc_id", "variant", f"t{n}"]).where(F.abs(F.col("q") - place) <= slop).drop("q")
-        else:
-            hits = hits.withColumn("q", place).join(shifted, ["doc_id", "variant", f"t{n}", "q"], "left_semi").drop("q")
-    hits = hits.select("doc_id", "variant", "item_id", "diag").distinct()
-    compared = hits.join(item_tokens.select(F.col("row_id").alias("item_id"), F.col("terms").alias("item_terms")), "item_id")
-    compared = compared.join(tokens.withColumnRenamed("row_id", "doc_id"), ["doc_id", "variant"])
-    runs = compared.select("doc_id", "item_id", "diag", "terms", "item_terms").mapInPandas(_longest_run, "doc_id long, item_id long, n_words int")
+    index = stored(positional_index(documents), "leak-index")
+    stated = item_terms(items)
+    blocks = [stated[i : i + ITEMS_AT_ONCE] for i in range(0, len(stated), ITEMS_AT_ONCE)] or [[]]
+    runs = search(index, blocks[0], slop)
+    for block in blocks[1:]:
+        runs = runs.unionByName(search(index, block, slop))
     return runs.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words")).where(F.col("n_words") >= least)
