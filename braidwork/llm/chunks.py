@@ -63,8 +63,10 @@ def _cuts(at: list[int], strength: list[int], low: int, high: int, limit: int, r
             return []
         n = -(-size // room)
         return [(low + size * i // n, FORCED) for i in range(1, n)]
-    least = -(-size // room)
-    for n in range(least, 2 * least + 3):
+    inside = at[bisect_right(at, low) : bisect_left(at, high)]
+    widest = max(b - a for a, b in zip([low, *inside], [*inside, high], strict=True))
+    n = least = -(-size // room)
+    while widest <= room and n <= 2 * least + 2:  # a wider line can't keep the room, whatever the number of pieces
         found: list[tuple[int, int]] = []
         for i in range(1, n):
             cut = _snap(at, strength, low + size * i / n, size / n / 2)
@@ -73,7 +75,8 @@ def _cuts(at: list[int], strength: list[int], low: int, high: int, limit: int, r
         edges = [low, *(c for c, _ in found), high]
         if all(b - a <= room for a, b in zip(edges, edges[1:], strict=False)):
             return found
-    # Some line is longer than the room: cut around it, then treat both sides by themselves.
+        n += max(1, n // 8)
+    # Cut at the boundary nearest the middle, then treat both sides by themselves.
     inside = range(bisect_right(at, low), bisect_left(at, high))
     k = max(inside, key=lambda i: -abs(at[i] - (low + high) / 2))
     cut = (at[k], strength[k])

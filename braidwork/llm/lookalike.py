@@ -31,7 +31,7 @@ HYPHENS = "‐‑"
 FILLERS = "ᅟᅠㅤﾠ͏឴឵"
 
 LATIN, CYRL, GREK = 0, 1, 2
-SWITCH_INSIDE, SWITCH_BETWEEN, UNSEEN = 9.0, 2.0, 12.0
+SWITCH_INSIDE, SWITCH_BETWEEN, UNSEEN = 9.0, 4.0, 7.0
 
 
 def _pairs(spec: str) -> dict[str, str]:
@@ -74,16 +74,21 @@ def _tables() -> dict[str, dict]:
     return _TABLES
 
 
-def skeleton(text: str) -> str:
-    """The look-alike classes of a text, each written as its Latin member."""
+def apart(text: str) -> str:
+    """The look-alike classes of a text, each written as its Latin member, marks apart from their letters."""
     if text.isascii():
         return text
     t = _tables()
-    # Width variants may hide letters that decompose, so they go first; marks are then apart from their letters.
-    text = unicodedata.normalize("NFD", text.translate(t["compat"])).translate(t["skeleton"])
-    return unicodedata.normalize("NFC", text)
+    # Width variants may hide letters that decompose, so they go first.
+    return unicodedata.normalize("NFD", text.translate(t["compat"])).translate(t["skeleton"])
+
 
+def skeleton(text: str) -> str:
+    """The look-alike classes of a text in composed form; equal for texts that look the same."""
+    return text if text.isascii() else unicodedata.normalize("NFC", apart(text))
 
+
+_MARKS = re.compile("[\u0300-\u036f]")
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -95,7 +100,7 @@ def script_of(char: str) -> int:
 
 
 def bigrams_of(word: str) -> Counter:
-    """Bigrams of a skeleton's word if its letters stand for one script beyond doubt."""
+    """Bigrams of a word of classes, without marks, if its letters stand for one script beyond doubt."""
     scripts = {script_of(c) for c in word if c not in READINGS}
     if len(scripts) != 1:
         return Counter()
@@ -114,13 +119,16 @@ class Reader:
         self.cost = {(a, b): math.log((before[a] + 50) / (n + 0.5)) for (a, b), n in counts.items()}
 
     def read(self, text: str) -> str:
-        flat = skeleton(text)
+        flat = apart(text)
         if flat.isascii() or not _FOREIGN.search(flat):
-            return flat
+            return unicodedata.normalize("NFC", flat)
         # (state -> (cost, trail)); a trail is a linked list, so a text of any length stays linear.
         layer: dict[tuple[int, str], tuple[float, tuple | None]] = {(LATIN, "^"): (0.0, None)}
         inside = False
         for char in flat:
+            if unicodedata.combining(char):
+                layer = {state: (cost, (char, trail)) for state, (cost, trail) in layer.items()}
+                continue
             if not char.isalpha():
                 best: dict[int, tuple[float, tuple]] = {}
                 for (script, _), (cost, trail) in layer.items():
@@ -160,7 +168,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                words.update(_WORD.findall(skeleton(text)))
+                words.update(_WORD.findall(_MARKS.sub("", apart(text))))
         if len(words) > 200_000:
             flush()
     flush()
