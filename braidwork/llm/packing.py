@@ -119,7 +119,8 @@ def window_plan(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[
         live = np.flatnonzero(left > 0)
         if not len(live) or int((lengths[live] * left[live]).sum()) <= 64 * capacity:
             break
-        for filling, used in configuration_lp(lengths[live], left[live].astype(float), capacity):
+        rounds = min(400, 10 + int((lengths[live] * left[live]).sum()) // (4 * capacity))
+        for filling, used in configuration_lp(lengths[live], left[live].astype(float), capacity, rounds):
             real = {int(live[k]): n for k, n in filling.items()}
             times = min(int(used), *(int(left[k] // n) for k, n in real.items()))
             if times > 0:
