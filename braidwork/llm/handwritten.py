@@ -1,9 +1,10 @@
 """Generated, minified, vendored source files and data saved as code (problem 7).
 
 Each text gets a Re-Pair grammar over its tokens. A grammar that reuses its rules for most of the
-text marks a generated file, literals that hardly compress mark data, and long rules (the start rule
-included) that occur in several repositories mark vendored code. Paths and head comments add what
-they say about the file.
+text marks a generated file, literals that hardly compress mark data. The start rule is cut into long
+rules at places that depend on the tokens near them only, so that copies with local changes share
+most of them; a file made up of rules that occur in several repositories is vendored code. Paths and
+head comments add what they say about the file.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.session import stored
+from braidwork.session import cut_lineage, stored
 
 ROUNDS = 8
 LONG_RULE = 16  # tokens a rule must stand for before its repositories are counted
-SHARED_BY = 3  # repositories that make a long inner rule shared; two are enough for a whole file
+SHARED_BY = 3  # repositories that make a long rule shared; two are enough for a whole file
+SHARED_PART = 0.5  # part of a file's tokens, head comments aside, that shared rules must exceed
 LEAST_TOKENS = 40
 
 # Endings of source files (prose and configuration are not source).
@@ -66,6 +68,18 @@ def head_says(text: str) -> tuple[bool, bool]:
     return generated, vendored
 
 
+def head_end(text: str) -> int:
+    """Where the first line of code begins."""
+    start = 0
+    while start < len(text):
+        stop = text.find("\n", start)
+        line = text[start : stop if stop >= 0 else len(text)]
+        if line.strip() and not _COMMENT.match(line):
+            return start
+        start = stop + 1 if stop >= 0 else len(text)
+    return start
+
+
 def minified(text: str) -> bool:
     """Long lines of dense code with hardly a blank and short names."""
     code = re.sub(r"/\*.*?\*/", "", text, flags=re.S)
@@ -167,6 +181,28 @@ def grammars(sequences: list[np.ndarray], rounds: int = ROUNDS) -> tuple[np.ndar
     return size + np.bincount(doc, minlength=n_docs), long_rules
 
 
+def start_rules(symbols: np.ndarray, least: int = LONG_RULE) -> tuple[list[int], list[int]]:
+    """Rules of at least `least` tokens that make up a sequence, by name, and the tokens each stands for.
+
+    A cut falls where the hash of three tokens is below all others within `least` places: equal
+    stretches of different files are cut alike, whatever stands before and after them.
+    """
+    n = len(symbols)
+    if n < least:
+        return [], []
+    cuts = np.empty(0, np.int64)
+    if n > 2 * least + 3:
+        mark = _mix(_mix(symbols[:-2], symbols[1:-1]), symbols[2:])
+        view = np.lib.stride_tricks.sliding_window_view(mark, 2 * least + 1)
+        middle = view[:, least]
+        low = view.min(axis=1)
+        at = np.flatnonzero(middle == low)
+        cuts = at[(view[at] == low[at, None]).sum(axis=1) == 1] + least
+    edges = np.concatenate(([0], cuts, [n]))
+    found = [(xxhash.xxh3_64_intdigest(symbols[a:b].tobytes()) - (1 << 63), int(b - a)) for a, b in zip(edges, edges[1:], strict=False) if b - a >= least]
+    return [r for r, _ in found], [k for _, k in found]
+
+
 class _Tokens(dict):
     def __missing__(self, token: str) -> int:
         if len(self) > 400_000:
@@ -194,12 +230,12 @@ def _slices(batch: pa.RecordBatch, rows: int = 2000, chars: int = 8_000_000) ->
         yield batch.slice(start)
 
 
-FEATURES = "blob_sha string, generated boolean, vendored boolean, minified boolean, data_share float, n_tokens int, reuse float, whole long, rules array<long>"
+FEATURES = "blob_sha string, generated boolean, vendored boolean, minified boolean, data_share float, n_tokens int, reuse float, whole long, n_body int, rules array<long>, spans array<int>"
 
 
 def blob_features(blobs: DataFrame) -> DataFrame:
     """One row per blob with what its text and its grammar say. Null and empty texts give a row without signs."""
-    schema = pa.schema([("blob_sha", pa.string()), ("generated", pa.bool_()), ("vendored", pa.bool_()), ("minified", pa.bool_()), ("data_share", pa.float32()), ("n_tokens", pa.int32()), ("reuse", pa.float32()), ("whole", pa.int64()), ("rules", pa.list_(pa.int64()))])
+    schema = pa.schema([("blob_sha", pa.string()), ("generated", pa.bool_()), ("vendored", pa.bool_()), ("minified", pa.bool_()), ("data_share", pa.float32()), ("n_tokens", pa.int32()), ("reuse", pa.float32()), ("whole", pa.int64()), ("n_body", pa.int32()), ("rules", pa.list_(pa.int64())), ("spans", pa.list_(pa.int32()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Tokens()
@@ -209,9 +245,11 @@ def blob_features(blobs: DataFrame) -> DataFrame:
                 sequences = [np.array([known[t] for t in _TOKEN.findall(x)], dtype=np.uint64) for x in texts]
                 n = np.array([len(s) for s in sequences])
                 whole = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sequences]
-                size, rules = grammars(sequences)
+                size, _ = grammars(sequences)
+                bodies = [s[len(_TOKEN.findall(x[: head_end(x)])) :] for s, x in zip(sequences, texts, strict=True)]
+                rules, spans = zip(*map(start_rules, bodies), strict=True)
                 said = [head_says(x) for x in texts]
-                columns = [part.column(0), [s[0] for s in said], [s[1] for s in said], [minified(x) for x in texts], [data_share(x) for x in texts], n.astype(np.int32), 1 - size / np.maximum(n, 1), whole, rules]
+                columns = [part.column(0), [s[0] for s in said], [s[1] for s in said], [minified(x) for x in texts], [data_share(x) for x in texts], n.astype(np.int32), 1 - size / np.maximum(n, 1), whole, [len(b) for b in bodies], rules, spans]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return blobs.where("blob_sha is not null").select("blob_sha", "text").mapInArrow(read, FEATURES)
@@ -242,10 +280,13 @@ def file_kinds(changes: DataFrame, blobs: DataFrame, reuse: float = REUSE, data:
     """
     rows = changes.where("repo_id is not null and path is not null").select("repo_id", "path", "old_path", F.col("new_blob").alias("blob_sha")).distinct()
     features = stored(blob_features(blobs), "file-features")
-    placed = rows.select("repo_id", "blob_sha").join(features.where(F.col("n_tokens") >= LEAST_TOKENS).select("blob_sha", "whole", "rules"), "blob_sha")
-    spread = placed.select("repo_id", F.explode(F.concat(F.array("whole"), "rules")).alias("rule"), "whole").select("repo_id", "rule", (F.col("rule") == F.col("whole")).alias("is_whole")).distinct()
-    shared = spread.groupBy("rule").agg(F.count_distinct("repo_id").alias("repos"), F.max("is_whole").alias("is_whole")).where((F.col("is_whole") & (F.col("repos") >= 2)) | (F.col("repos") >= SHARED_BY)).select("rule")
-    copied = features.where(F.col("n_tokens") >= LEAST_TOKENS).select("blob_sha", "whole").join(shared.withColumnRenamed("rule", "whole"), "whole", "left_semi").select("blob_sha", F.lit(True).alias("copied"))
+    long = features.where(F.col("n_tokens") >= LEAST_TOKENS).select("blob_sha", "whole", "n_body", "rules", "spans").dropDuplicates(["blob_sha"])
+    placed = rows.select("repo_id", "blob_sha").distinct().join(long, "blob_sha")
+    both = placed.groupBy("whole").agg(F.count_distinct("repo_id").alias("repos")).where("repos >= 2").select("whole")
+    shared = placed.select("repo_id", F.explode("rules").alias("rule")).distinct().groupBy("rule").agg(F.count("*").alias("repos")).where(F.col("repos") >= SHARED_BY).select("rule")
+    uses = long.where(F.col("n_body") >= LEAST_TOKENS).select("blob_sha", "n_body", F.explode(F.arrays_zip("rules", "spans")).alias("r")).select("blob_sha", "n_body", F.col("r.rules").alias("rule"), F.col("r.spans").alias("span"))
+    made_up = uses.join(shared, "rule", "left_semi").groupBy("blob_sha", "n_body").agg(F.sum("span").alias("common")).where(F.col("common") > SHARED_PART * F.col("n_body")).select("blob_sha")
+    copied = long.join(both, "whole", "left_semi").select("blob_sha").union(made_up).distinct().withColumn("copied", F.lit(True))
     kind = (
         F.when(F.col("vendored"), "vendored")
         .when(F.col("minified"), "minified")
@@ -253,7 +294,7 @@ def file_kinds(changes: DataFrame, blobs: DataFrame, reuse: float = REUSE, data:
         .when(F.col("generated") | ((F.col("n_tokens") >= LEAST_TOKENS) & (F.col("reuse") >= reuse)), "generated")
         .when(F.col("copied"), "vendored")
     )
-    by_text = features.join(copied, "blob_sha", "left").select("blob_sha", kind.alias("text_kind")).where("text_kind is not null")
+    by_text = cut_lineage(features.join(copied, "blob_sha", "left").select("blob_sha", kind.alias("text_kind")).where("text_kind is not null").distinct())
     judged = rows.join(by_text, "blob_sha", "left")
     said = judged.withColumn("kind", F.coalesce(path_kind(F.col("path")), path_kind(F.col("old_path")), "text_kind"))
     marked = said.where("kind is not null").select("repo_id", F.explode(F.array("path", "old_path")).alias("path"), "kind").where("path is not null").distinct()

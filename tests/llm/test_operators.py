@@ -330,6 +330,19 @@ def test_copies_across_repositories_are_vendored(spark):
     assert {tuple(r) for r in handwritten.file_kinds(changes, blobs).collect()} == {("r1", "a.py", "vendored"), ("r2", "z/b.py", "vendored")}
 
 
+def test_changed_copies_across_repositories_are_vendored(spark):
+    code = written(2, 40)
+    licence = "".join(f"# {w}\n" for w in written(20, 60).split("\n"))
+    lines = code.split("\n")
+    texts = [code, code.replace(lines[20], "    patched = 1"), code.replace(lines[0], "import other_module"), code + "    return locally_added\n"]
+    own = [licence + written(k, 30) for k in (21, 22, 23, 24)]  # only the licence is shared
+    twice = [written(25, 40), written(25, 40) + "    return 1\n"]  # two repositories are not enough for a part
+    files = [(f"r{i}", f"lib/{g}{i}.py", f"{g}{i}", t) for g, some in (("c", texts), ("o", own), ("t", twice)) for i, t in enumerate(some)]
+    changes = spark.createDataFrame([(r, 1, "A", p, None, b) for r, p, b, _ in files], "repo_id string, seq int, status string, path string, old_path string, new_blob string")
+    blobs = spark.createDataFrame([(b, t) for _, _, b, t in files], "blob_sha string, text string")
+    assert {tuple(r) for r in handwritten.file_kinds(changes, blobs).collect()} == {(f"r{i}", f"lib/c{i}.py", "vendored") for i in range(4)}
+
+
 # Problem 8
 
 
