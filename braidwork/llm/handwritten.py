@@ -297,12 +297,16 @@ def file_kinds(changes: DataFrame, blobs: DataFrame, reuse: float = REUSE, data:
     by_text = cut_lineage(features.join(copied, "blob_sha", "left").select("blob_sha", kind.alias("text_kind")).where("text_kind is not null").distinct())
     judged = rows.join(by_text, "blob_sha", "left")
     said = judged.withColumn("kind", F.coalesce(path_kind(F.col("path")), path_kind(F.col("old_path")), "text_kind"))
-    marked = said.where("kind is not null").select("repo_id", F.explode(F.array("path", "old_path")).alias("path"), "kind").where("path is not null").distinct()
-    moves = rows.where("old_path is not null and old_path <> path").select("repo_id", "path", "old_path").distinct()
-    for _ in range(2):  # a file keeps its kind through renames, in both directions
-        back = moves.join(marked, ["repo_id", "path"]).select("repo_id", F.col("old_path").alias("path"), "kind")
-        on = moves.join(marked.withColumnRenamed("path", "old_path"), ["repo_id", "old_path"]).select("repo_id", "path", "kind")
-        marked = marked.unionByName(back).unionByName(on).distinct()
+    marked = cut_lineage(said.where("kind is not null").select("repo_id", F.explode(F.array("path", "old_path")).alias("path"), "kind").where("path is not null").distinct())
+    moves = rows.where("old_path is not null and old_path <> path")
+    steps = cut_lineage(moves.select("repo_id", "path", F.col("old_path").alias("other")).unionByName(moves.select("repo_id", F.col("old_path").alias("path"), F.col("path").alias("other"))).distinct())
+    fresh = marked
+    while True:  # a file keeps its kind through renames, in both directions; a turn goes on from new rows only
+        reached = steps.join(fresh, ["repo_id", "path"]).select("repo_id", F.col("other").alias("path"), "kind").distinct()
+        fresh = cut_lineage(reached.join(marked, ["repo_id", "path", "kind"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        marked = marked.unionByName(fresh)
     order = F.when(F.col("kind") == "vendored", 0).when(F.col("kind") == "minified", 1).when(F.col("kind") == "data", 2).otherwise(3)
     best = marked.where(is_source(F.col("path"))).groupBy("repo_id", "path").agg(F.min_by("kind", order).alias("kind"))
     return best

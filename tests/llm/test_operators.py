@@ -343,6 +343,16 @@ def test_changed_copies_across_repositories_are_vendored(spark):
     assert {tuple(r) for r in handwritten.file_kinds(changes, blobs).collect()} == {(f"r{i}", f"lib/c{i}.py", "vendored") for i in range(4)}
 
 
+def test_kinds_go_through_any_number_of_renames(spark):
+    moved = [("r", i, "R100", f"lib/n{i}.py", f"lib/n{i - 1}.py" if i else "vendor/n.py", "b0") for i in range(9)] + [("r", 20, "R100", "lib/n2.py", "lib/n8.py", "b0")]
+    back = [("r", 30 + i, "R100", f"old/m{i + 1}.py" if i < 6 else "m_pb2.py", f"old/m{i}.py", "b0") for i in range(7)]
+    changes = spark.createDataFrame([*moved, *back, ("s", 1, "R100", "lib/n1.py", "lib/n0.py", "b0")], "repo_id string, seq int, status string, path string, old_path string, new_blob string")
+    blobs = spark.createDataFrame([("b0", "x = 1\n")], "blob_sha string, text string")
+    got = {tuple(r) for r in handwritten.file_kinds(changes, blobs).collect()}
+    vendored, generated = ["vendor/n.py", *(f"lib/n{i}.py" for i in range(9))], ["m_pb2.py", *(f"old/m{i}.py" for i in range(7))]
+    assert got == {("r", p, "vendored") for p in vendored} | {("r", p, "generated") for p in generated}
+
+
 # Problem 8
 
 
