@@ -53,14 +53,10 @@ _LITERAL = re.compile(r"\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'")
 def head_says(text: str) -> tuple[bool, bool]:
     """What comments before the first line of code say: (generated, vendored)."""
     generated = vendored = False
-    lines = 0
-    for line in text.split("\n", 12)[:12]:
-        if not line.strip():
-            continue
+    for line in text[: head_end(text)].split("\n"):
         comment = _COMMENT.match(line)
         if not comment:
-            break
-        lines += 1
+            continue
         said = comment.group(1)
         if not _NOT_SO.search(said):
             generated = generated or _SAYS_GENERATED.search(said) is not None

@@ -353,6 +353,13 @@ def test_kinds_go_through_any_number_of_renames(spark):
     assert got == {("r", p, "vendored") for p in vendored} | {("r", p, "generated") for p in generated}
 
 
+def test_head_comments_are_read_to_their_end():
+    licence = "".join(f"# Line {i} of a licence.\n\n" for i in range(40))
+    assert handwritten.head_says(licence + "# Code generated by toolc. DO NOT EDIT.\nx = 1\n") == (True, False)
+    assert handwritten.head_says(licence + "# Copied verbatim from somelib.") == (False, True)
+    assert handwritten.head_says(licence + "x = 1\n# Code generated by toolc. DO NOT EDIT.\n") == (False, False)
+
+
 # Problem 8
 
 
