@@ -94,12 +94,20 @@ def _sql_pooled(parts):
     return " union all ".join(both)
 
 
-def _windows(s, d):
+def _windows_of(documents):
     ids = F.sequence(F.lit(1), F.length("text"))
-    w = table(s, d, "documents").where("length(text) > 0 and length(text) < 2000").select("doc_id", vectors.token_windows(ids, 100, 20).alias("w"))
+    w = documents.where("length(text) > 0").select("doc_id", vectors.token_windows(ids, 100, 20).alias("w"))
     return w.select("doc_id", F.posexplode("w").alias("i", "w")).select("doc_id", "i", F.element_at("w", 1).alias("first"), F.element_at("w", -1).alias("last"))
 
 
+def _windows(s, d):
+    return _windows_of(table(s, d, "documents").where("length(text) < 2000"))
+
+
+def _windows_whole(s, d):
+    return _windows_of(table(s, d, "documents"))
+
+
 def _extracted(s, d):
     """Round trip: a prefix and its target make a source whose last assertion is the pair itself."""
     sources = texts(s, d).where("target is not null").select("qna_id", F.col("target").alias("stored"), F.concat("prefix", "target").alias("text"))
@@ -195,6 +203,7 @@ PAIRS = {
         """with t as (select doc_id, length(text) as n from documents where length(text) > 0 and length(text) < 2000), w as (select doc_id, n, unnest(range(0, greatest(0, ceil((n - 100) / 80.0)::int) + 1)) as i from t)
         select doc_id, cast(i as int) as i, cast(i * 80 + 1 as int) as first, cast(least(i * 80 + 100, n) as int) as last from w where least(100, n - i * 80) >= 16""",
     ),
+    "v_token_windows_whole": (_windows_whole, None),
     "v_block_similarity": (
         lambda s, d: geometry.block_similarity(table(s, d, "embeddings"), "vec_id", "embedding", table(s, d, "embeddings").where("vec_id % 20 = 0")).groupBy("a").agg(F.round(F.avg("cosine"), 6).alias("mean_cosine")),
         """with q as (select vec_id as a, embedding::double[] as v from embeddings where vec_id % 20 = 0), e as (select vec_id as b, embedding::double[] as w from embeddings)

@@ -86,6 +86,22 @@ def test_token_windows_follow_the_loop(spark):
         assert [list(w) for w in got] == loop(n, 40, 8, 16), n
 
 
+def test_windows_of_long_documents(spark, tmp_path):
+    from braidwork.plans import catalog
+
+    lengths = [0, 15, 16, 100, 101, 1999, 2000, 5003, 40_000]
+    spark.createDataFrame([(n, "x" * n) for n in lengths] + [(7, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for n in lengths:
+        for i, start in enumerate(range(0, n, 80)):
+            if min(100, n - start) >= 16:
+                want.add((n, i, start + 1, min(start + 100, n)))
+            if start + 100 >= n:
+                break
+    got = [tuple(r) for r in catalog.QUERIES["v_token_windows_whole"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_pooling_and_finite(spark):
     df = spark.createDataFrame([("a", [1.0, 4.0]), ("a", [3.0, 2.0]), ("b", None)], "g string, v array<float>")
     assert {r.g: list(r.pooled) for r in vectors.pooled(df, "g", "v", "mean_max").collect()} == {"a": [2.0, 3.0, 3.0, 4.0]}
