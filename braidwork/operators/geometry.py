@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,18 +19,44 @@ def centred(df: DataFrame, row_id: str, vector: str) -> DataFrame:
     return df.join(F.broadcast(whole)).select(row_id, F.zip_with(vector, "_mean", lambda x, m: x.cast("double") - m).alias(vector))
 
 
+AT_ONCE = 10_000  # stated rows that travel to all rows together
+
+
 def block_similarity(df: DataFrame, row_id: str, vector: str, some: DataFrame) -> DataFrame:
-    """(a, b, cosine) of a small stated set of rows against all rows; the set's size is the caller's to bound."""
+    """(a, b, cosine) of a small stated set of rows against all rows; `similarity` takes sets of any size."""
     left = df.join(some.select(row_id), row_id, "left_semi").select(F.col(row_id).alias("a"), F.col(vector).alias("_va"))
-    if left.count() > 10_000:
-        raise ValueError("the stated set has more than 10,000 rows; use the sharded search instead")
+    if left.count() > AT_ONCE:
+        raise ValueError("the stated set has more than 10,000 rows; use `similarity` instead")
     pairs = df.select(F.col(row_id).alias("b"), F.col(vector).alias("_vb")).join(F.broadcast(left), F.col("a") != F.col("b"))
     return pairs.select("a", "b", cosine(F.col("_va"), F.col("_vb")).alias("cosine"))
 
 
+def similarity(df: DataFrame, row_id: str, vector: str, some: DataFrame) -> DataFrame:
+    """(a, b, cosine) of a stated set of rows against all rows, searched in blocks where it is large."""
+    blocks = -(-df.join(some.select(row_id), row_id, "left_semi").count() * 2 // AT_ONCE)  # half full, so that hashing may be uneven
+    if blocks <= 2:
+        return block_similarity(df, row_id, vector, some)
+    parts = [block_similarity(df, row_id, vector, some.where(F.pmod(F.xxhash64(row_id), F.lit(blocks)) == k)) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def diversity(df: DataFrame, row_id: str, vector: str, some: DataFrame) -> DataFrame:
     """Mean cosine, off the diagonal, of a stated set against all mean-centred rows."""
-    return block_similarity(centred(df, row_id, vector), row_id, vector, some).agg(F.avg("cosine").alias("mean_cosine"), F.count("*").alias("n_pairs"))
+    return similarity(centred(df, row_id, vector), row_id, vector, some).agg(F.avg("cosine").alias("mean_cosine"), F.count("*").alias("n_pairs"))
+
+
+def whole_diversity(df: DataFrame, row_id: str, vector: str) -> DataFrame:
+    """Mean cosine, off the diagonal, of all mean-centred rows, from the sum of their unit vectors.
+
+    An id counts once; rows without a vector, or equal to the mean, have no cosine and form no pairs.
+    """
+    rows = centred(df.where(F.col(vector).isNotNull()).dropDuplicates([row_id]), row_id, vector)
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+    units = rows.withColumn("_norm", norm).where("_norm > 0").select(F.posexplode(F.transform(vector, lambda x: x / F.col("_norm"))).alias("pos", "x"))
+    sums = units.groupBy("pos").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    whole = sums.agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    n_pairs = F.col("n") * (F.col("n") - 1)
+    return whole.select(F.when(n_pairs > 0, (F.col("s2") - F.col("n")) / n_pairs).alias("mean_cosine"), n_pairs.alias("n_pairs"))
 
 
 def principal_axes(df: DataFrame, row_id: str, vector: str, k: int = 2) -> DataFrame:

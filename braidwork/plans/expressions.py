@@ -205,7 +205,7 @@ PAIRS = {
     ),
     "v_token_windows_whole": (_windows_whole, None),
     "v_block_similarity": (
-        lambda s, d: geometry.block_similarity(table(s, d, "embeddings"), "vec_id", "embedding", table(s, d, "embeddings").where("vec_id % 20 = 0")).groupBy("a").agg(F.round(F.avg("cosine"), 6).alias("mean_cosine")),
+        lambda s, d: geometry.similarity(table(s, d, "embeddings"), "vec_id", "embedding", table(s, d, "embeddings").where("vec_id % 20 = 0")).groupBy("a").agg(F.round(F.avg("cosine"), 6).alias("mean_cosine")),
         """with q as (select vec_id as a, embedding::double[] as v from embeddings where vec_id % 20 = 0), e as (select vec_id as b, embedding::double[] as w from embeddings)
         select a, round(avg(list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w))), 6) as mean_cosine from q, e where a <> b group by a""",
     ),
@@ -215,6 +215,7 @@ PAIRS = {
         e as (select vec_id, list_transform(range(1, 65), lambda i: embedding[i]::double - l.m[i]) as v from embeddings, l)
         select round(avg(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))), 6) as mean_cosine, count(*) as n_pairs from e a, e b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id""",
     ),
+    "v_diversity_whole": (lambda s, d: geometry.whole_diversity(table(s, d, "embeddings"), "vec_id", "embedding").select(F.round("mean_cosine", 6).alias("mean_cosine"), "n_pairs"), None),
     "m_principal_axes": (lambda s, d: geometry.principal_axes(table(s, d, "embeddings"), "vec_id", "embedding").groupBy("axis").agg(F.count("*").alias("n"), F.round(F.var_pop("position"), 4).alias("variance")), None),
     "r_bm25": (_bm25, SQL_BM25),
     "r_dense_top_k": (_dense, SQL_DENSE),

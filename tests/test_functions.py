@@ -230,3 +230,28 @@ def test_principal_axes_match_numpy(spark):
     assert np.allclose(np.sqrt((got**2).sum(axis=0)), s[:2])
     with pytest.raises(ValueError):
         geometry.block_similarity(spark.range(10_001).select("id", F.array(F.lit(1.0)).alias("v")), "id", "v", spark.range(10_001))
+
+
+def test_diversity_of_all_rows(spark):
+    from braidwork.operators import geometry
+
+    x = np.random.default_rng(8).normal(size=(50, 6)) + 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, *rows[:9], (99, None)], "id int, v array<double>")
+    u = x - x.mean(axis=0)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    got = geometry.whole_diversity(df, "id", "v").first()
+    assert got.n_pairs == 50 * 49 and abs(got.mean_cosine - ((u @ u.T).sum() - 50) / (50 * 49)) < 1e-12
+    assert tuple(geometry.whole_diversity(df.where("false"), "id", "v").first()) == (None, 0)
+
+
+def test_similarity_of_large_stated_sets(spark, monkeypatch):
+    from braidwork.operators import geometry
+
+    monkeypatch.setattr(geometry, "AT_ONCE", 16)
+    x = np.random.default_rng(9).normal(size=(40, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r.a, r.b): r.cosine for r in geometry.similarity(df, "id", "v", df.where("id < 30")).collect()}
+    assert set(got) == {(a, b) for a in range(30) for b in range(40) if a != b}
+    assert all(abs(c - u[a] @ u[b]) < 1e-9 for (a, b), c in got.items())
