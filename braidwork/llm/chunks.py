@@ -1,7 +1,7 @@
 """Splitting oversized diffs at natural boundaries (problem 2).
 
-Balanced targets: the least number of pieces is computed, equal-length targets are placed, each is
-snapped to the strongest boundary near it (file, hunk, line), and pieces are added until every
+Lines too wide to leave room for an overlap are set apart first. The runs between them get balanced
+targets: the least number of pieces is computed, equal-length targets are placed, each is snapped to the strongest boundary near it (file, hunk, line), and pieces are added until every
 piece, its overlap with the one before included, keeps the limit.
 """
 
@@ -64,9 +64,17 @@ def _cuts(at: list[int], strength: list[int], low: int, high: int, limit: int, r
         n = -(-size // room)
         return [(low + size * i // n, FORCED) for i in range(1, n)]
     inside = at[bisect_right(at, low) : bisect_left(at, high)]
-    widest = max(b - a for a, b in zip([low, *inside], [*inside, high], strict=True))
+    wide = [(a, b) for a, b in zip([low, *inside], [*inside, high], strict=True) if b - a > room]
+    if wide:  # they can't keep the room, whatever the number of pieces: each stands alone, the runs between are cut by themselves
+        ends = sorted({x for line in wide for x in line if low < x < high})
+        apart: list[tuple[int, int]] = []
+        for a, b in zip([low, *ends], [*ends, high], strict=True):
+            if a > low:
+                apart.append((a, strength[bisect_left(at, a)]))
+            apart.extend(_cuts(at, strength, a, b, limit, room))
+        return apart
     n = least = -(-size // room)
-    while widest <= room and n <= 2 * least + 2:  # a wider line can't keep the room, whatever the number of pieces
+    while n <= 2 * least + 2:
         found: list[tuple[int, int]] = []
         for i in range(1, n):
             cut = _snap(at, strength, low + size * i / n, size / n / 2)
@@ -76,10 +84,12 @@ def _cuts(at: list[int], strength: list[int], low: int, high: int, limit: int, r
         if all(b - a <= room for a, b in zip(edges, edges[1:], strict=False)):
             return found
         n += max(1, n // 8)
-    # Cut at the boundary nearest the middle, then treat both sides by themselves.
-    inside = range(bisect_right(at, low), bisect_left(at, high))
-    k = max(inside, key=lambda i: -abs(at[i] - (low + high) / 2))
-    cut = (at[k], strength[k])
+    # Cut at the strongest boundary of the middle half, else at the one nearest the middle, then treat both sides by themselves.
+    middle = (low + high) / 2
+    cut = _snap(at, strength, middle, size / 4)
+    if not cut:
+        k = min(range(bisect_right(at, low), bisect_left(at, high)), key=lambda i: abs(at[i] - middle))
+        cut = (at[k], strength[k])
     return [*_cuts(at, strength, low, cut[0], limit, room), cut, *_cuts(at, strength, cut[0], high, limit, room)]
 
 

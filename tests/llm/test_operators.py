@@ -113,6 +113,18 @@ def test_pieces_keep_every_promise(lines, limit, overlap_):
             assert line and line[0][1] - line[0][0] > limit
 
 
+def test_runs_beside_a_wide_line_are_cut_at_hunks():
+    hunk = "@@ -1 +1 @@\n" + "+ line of code\n" * 60
+    for width in (3900, 9000):
+        text = hunk * 12 + "x" * width + "\n" + hunk * 12
+        parts = chunks.pieces(text)
+        where = text.index("x" * width)
+        line_end = where + width + 1
+        assert all(text.startswith("@@ ", start) for start, *_ in parts[1:] if not where <= start < line_end)
+        assert {where, line_end} <= {start for start, *_ in parts}
+        assert all(stop - start > 1500 for start, stop, *_ in parts if not where <= start < line_end)
+
+
 def test_cut_kinds(spark):
     long_line, lines = "x" * 4001, ("y" * 99 + "\n") * 45
     rows = [("a", long_line), ("b", lines), ("b", lines), ("c", "z" * 4000), ("d", None), ("e", ""), ("f", "z" * 4000 + "\n"), ("g", "é" * 4001), ("h", lines + "q" * 30_000)]
