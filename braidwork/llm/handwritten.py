@@ -1,17 +1,18 @@
 """Generated, minified, vendored source files and data saved as code (problem 7).
 
-Each text gets a Re-Pair grammar over its tokens. A grammar that reuses its rules for most of the
-text marks a generated file, literals that hardly compress mark data. The start rule is cut into long
-rules at places that depend on the tokens near them only, so that copies with local changes share
-most of them; a file made up of rules that occur in several repositories is vendored code. Paths and
-head comments add what they say about the file.
+Each text gets a Re-Pair grammar over its tokens, inferred until no pair repeats. A grammar that
+reuses its rules for most of the text marks a generated file. The characters of its literals get a
+grammar too: literals that compress no better than their own characters in random order are data.
+The start rule is cut into long rules at places that depend on the tokens near them only, so that
+copies with local changes share most of them; a file made up of rules that occur in several
+repositories is vendored code. Every rule, the whole file included, is named by a hash of what it
+stands for, so equal rules have equal names wherever they come from. Paths and head comments are
+two more signals; `file_signals` tells which signals speak for each file.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 
 from braidwork.session import cut_lineage, stored
 
-ROUNDS = 8
 LONG_RULE = 16  # tokens a rule must stand for before its repositories are counted
 SHARED_BY = 3  # repositories that make a long rule shared; two are enough for a whole file
 SHARED_PART = 0.5  # part of a file's tokens, head comments aside, that shared rules must exceed
-LEAST_TOKENS = 40
+LONG_LINE = 120  # characters that make a line of code a long one
+INCOMPRESSIBLE = 0.9  # size of a literal's grammar against that of its shuffled characters: data 0.94 and more, words 0.6 to 0.95
 
 # Endings of source files (prose and configuration are not source).
 SOURCE = "py pyi pyx js mjs cjs jsx ts tsx vue c h cc cpp cxx hpp hh hxx m mm cs java kt kts scala go rs rb php pl pm swift lua r jl sh bash zsh ps1 sql css scss less dart ex exs erl hs clj ml fs groovy asm s vb pas f90 proto coffee"
@@ -47,6 +48,9 @@ _SAYS_VENDORED = re.compile(
 )
 _NOT_SO = re.compile(r"(?i)\bby hand\b|\bhand-?written\b|\bregenerate\b|\bnot generated\b|\bmanual(?:ly)?\b")
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0x[0-9a-fA-F]+|\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?)(?![\w.])")
+# The alphabets that bytes are written in: base 16 to 64, escapes, and digits with the marks between them.
+_PAYLOAD = re.compile(r"[A-Za-z0-9+/=_-]+|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{1,3})+|[-+0-9.,;:eE]+")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _LITERAL = re.compile(r"\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'")
 
 
@@ -79,38 +83,46 @@ def head_end(text: str) -> int:
 def minified(text: str) -> bool:
     """Long lines of dense code with hardly a blank and short names."""
     code = re.sub(r"/\*.*?\*/", "", text, flags=re.S)
-    if len(code) < 120:
+    if max(map(len, code.split("\n"))) < LONG_LINE:
         return False
-    longest = max(map(len, code.split("\n")))
     bare = _LITERAL.sub("", code)
     names = re.findall(r"[A-Za-z_$]\w*", bare)
     marks = sum(bare.count(c) for c in ";{}(),=")
     blanks = sum(c.isspace() for c in bare) / max(1, len(bare))
     short = sum(len(n) <= 2 for n in names) / max(1, len(names))
-    return longest >= 120 and blanks <= 0.16 and marks >= 0.08 * len(bare) and short >= 0.4
+    return blanks <= 0.16 and marks >= 0.08 * len(bare) and short >= 0.4
 
 
-def _entropy(text: str) -> float:
-    n = len(text)
-    return -sum(k / n * math.log2(k / n) for k in Counter(text).values()) if n else 0.0
+def literal_payload(text: str) -> tuple[str, float]:
+    """What may be data in a text: digits of numbers and strings in an encoding's alphabet; and the share of the visible characters they take, marks between them included."""
+    visible = sum(map(len, text.split()))
+    if not visible:
+        return "", 0.0
+    strings = [s for s in (a or b for a, b in _LITERAL.findall(text)) if s and _PAYLOAD.fullmatch(s)]
+    numbers = _NUMBER.findall(_LITERAL.sub('""', text))
+    taken = sum(len(s) + 2 for s in strings) + sum(len(n) + 1 for n in numbers)
+    return "".join(strings) + "".join(re.sub(r"^[-+]?(?:0[xX])?|[_.]", "", n) for n in numbers), min(1.0, taken / visible)
 
 
-def data_share(text: str) -> float:
-    """Share of a text's visible characters in literals that hardly compress: numbers, all different, and dense strings."""
-    visible = sum(not c.isspace() for c in text)
-    if not visible:
-        return 0.0
-    dense = numbers = 0
-    parts = [a or b for a, b in _LITERAL.findall(text)]
-    packed = [p for p in parts if len(p) >= 32 and not re.search(r"\s", p.strip()) and not re.search(r"[A-Za-z]+_[a-z]", p)]
-    if packed:
-        joined = "".join(packed)
-        if _entropy(joined) >= 0.85 * math.log2(max(2, len(set(joined)))) and len(set(joined)) >= 10:
-            dense = len(joined)
-    found = [n for n in _NUMBER.findall(text)] + [p for p in parts if p.isdigit()]
-    if len(found) >= 24 and len(set(found)) >= 0.5 * len(found):
-        numbers = sum(map(len, found)) + 2 * len(found)  # with the marks between them
-    return min(1.0, (dense + numbers) / visible)
+def data_shares(texts: list[str]) -> list[float]:
+    """Share of each text's visible characters in near-incompressible literals.
+
+    The literals' characters get a Re-Pair grammar, and so do the same characters in random order:
+    where order saves less than a tenth there is no structure to it. The comparison says nothing, and
+    the literals are not counted, where they are so few that no pair repeats by chance either. Both
+    grammars are inferred for every text whose literals take enough room to matter at all.
+    """
+    found = [literal_payload(t) for t in texts]
+    rows = [i for i, (_, share) in enumerate(found) if share >= DATA]
+    if not rows:
+        return [0.0] * len(texts)
+    order = np.random.default_rng(5)
+    plain = [np.frombuffer(found[i][0].encode("utf-32-le"), dtype="<u4").astype(np.uint64) * _ODD for i in rows]
+    mixed = [order.permutation(x) for x in plain]
+    size, at_random = grammars(plain), grammars(mixed)
+    chance = [len(np.unique(_mix(y[:-1], y[1:]))) < len(y) - 1 for y in mixed]
+    dense = {i for i, a, b, some in zip(rows, size.tolist(), at_random.tolist(), chance, strict=True) if some and a >= INCOMPRESSIBLE * b}
+    return [share if i in dense else 0.0 for i, (_, share) in enumerate(found)]
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -120,28 +132,29 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x * np.uint64(0xD6E8FEB86659FD93)
 
 
-def grammars(sequences: list[np.ndarray], rounds: int = ROUNDS) -> tuple[np.ndarray, list[list[int]]]:
-    """Re-Pair over many sequences at once: (size of each grammar, long rules of each).
+def grammars(sequences: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the Re-Pair grammars of many sequences, inferred side by side until no pair repeats.
 
     Every round replaces, in each sequence, the repeated pairs that are more frequent than the pairs
-    next to them. A symbol is a hash of what it stands for, so equal rules of different files have
-    equal names. Symbols in no repeated pair can never enter one later and leave the work.
+    next to them; the most frequent pair of each is always among them, so the rounds come to an end.
+    Overlapping uses of a pair of equal symbols count once. A symbol is the polynomial hash of what
+    it stands for. Symbols in no repeated pair can never enter one later and leave the work.
     """
     n_docs = len(sequences)
-    lengths = np.array([len(s) for s in sequences])
     size = np.zeros(n_docs, dtype=np.int64)
-    long_rules: list[list[int]] = [[] for _ in range(n_docs)]
-    symbol = np.concatenate(sequences) if n_docs else np.empty(0, np.uint64)
-    doc = np.repeat(np.arange(n_docs), lengths)
+    symbol = np.concatenate([np.empty(0, np.uint64), *sequences])
+    doc = np.repeat(np.arange(n_docs), np.array([len(s) for s in sequences], dtype=np.int64))
     place = np.arange(len(symbol))
     span = np.ones(len(symbol), dtype=np.int64)
-    for turn in range(rounds + 1):
-        if len(symbol) < 2 or turn == rounds:
-            break
+    power = np.full(len(symbol), _ODD)
+    while len(symbol) > 1:
         joined = (doc[1:] == doc[:-1]) & (place[1:] == place[:-1] + span[:-1])
         key = _mix(symbol[:-1], symbol[1:]) ^ (doc[:-1].astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-        count = np.where(joined, counts[inverse], 0)
+        number = np.arange(len(key))
+        overlaps = np.concatenate(([False], (key[1:] == key[:-1]) & joined[1:] & joined[:-1]))
+        usable = joined & ((number - np.maximum.accumulate(np.where(overlaps, 0, number))) % 2 == 0)
+        _, inverse, counts = np.unique(np.where(usable, key, number.astype(np.uint64)), return_inverse=True, return_counts=True)
+        count = np.where(usable, counts[inverse], 0)
         repeated = count >= 2
         if not repeated.any():
             break
@@ -149,32 +162,32 @@ def grammars(sequences: list[np.ndarray], rounds: int = ROUNDS) -> tuple[np.ndar
         name = _mix(symbol[1:], symbol[:-1])
         above = (count[1:] > count[:-1]) | ((count[1:] == count[:-1]) & (name[1:] > name[:-1]))
         chosen = repeated.copy()
-        chosen[1:] &= above | (name[1:] == name[:-1])
+        chosen[1:] &= above
         chosen[:-1] &= ~above
-        again = np.bincount(inverse[chosen], minlength=len(counts))  # a rule needs two uses left
-        chosen &= again[inverse] >= 2
-        chosen[1:] &= ~chosen[:-1]
-        again = np.bincount(inverse[chosen], minlength=len(counts))
-        chosen &= again[inverse] >= 2
+        chosen &= np.bincount(inverse[chosen], minlength=len(counts))[inverse] >= 2  # a rule needs two uses left
         at = np.flatnonzero(chosen)
-        if len(at):
-            fresh = _mix(symbol[at], symbol[at + 1])
-            first = np.unique(inverse[at], return_index=True)[1]
-            size += 2 * np.bincount(doc[at[first]], minlength=n_docs)
-            symbol[at] = fresh
-            span[at] += span[at + 1]
-            for i in at[first][span[at[first]] >= LONG_RULE]:
-                long_rules[doc[i]].append(int(symbol[i].view(np.int64)))
-            gone = np.zeros(len(symbol), dtype=bool)
-            gone[at + 1] = True
-            live = np.concatenate((repeated, [False])) | np.concatenate(([False], repeated))
-            idle = ~live & ~gone
-            size += np.bincount(doc[idle], minlength=n_docs)
-            keep = live & ~gone
-        else:
-            break
-        symbol, doc, place, span = symbol[keep], doc[keep], place[keep], span[keep]
-    return size + np.bincount(doc, minlength=n_docs), long_rules
+        first = np.unique(inverse[at], return_index=True)[1]
+        size += 2 * np.bincount(doc[at[first]], minlength=n_docs)
+        with np.errstate(over="ignore"):
+            symbol[at] += power[at] * symbol[at + 1]
+            power[at] *= power[at + 1]
+        span[at] += span[at + 1]
+        gone = np.zeros(len(symbol), dtype=bool)
+        gone[at + 1] = True
+        live = np.concatenate((repeated, [False])) | np.concatenate(([False], repeated))
+        size += np.bincount(doc[~live & ~gone], minlength=n_docs)
+        keep = live & ~gone
+        symbol, power, doc, place, span = symbol[keep], power[keep], doc[keep], place[keep], span[keep]
+    return size + np.bincount(doc, minlength=n_docs)
+
+
+def rule_names(symbols: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The names of the rules that stand for symbols[edges[i]:edges[i + 1]]: polynomial hashes, as `grammars` names its rules."""
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(symbols), _ODD))))
+        inverse = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(symbols), np.uint64(pow(int(_ODD), -1, 1 << 64))))))
+        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(symbols * powers[: len(symbols)])))
+        return (upto[edges[1:]] - upto[edges[:-1]]) * inverse[edges[:-1]]
 
 
 def start_rules(symbols: np.ndarray, least: int = LONG_RULE) -> tuple[list[int], list[int]]:
@@ -195,8 +208,8 @@ def start_rules(symbols: np.ndarray, least: int = LONG_RULE) -> tuple[list[int],
         at = np.flatnonzero(middle == low)
         cuts = at[(view[at] == low[at, None]).sum(axis=1) == 1] + least
     edges = np.concatenate(([0], cuts, [n]))
-    found = [(xxhash.xxh3_64_intdigest(symbols[a:b].tobytes()) - (1 << 63), int(b - a)) for a, b in zip(edges, edges[1:], strict=False) if b - a >= least]
-    return [r for r, _ in found], [k for _, k in found]
+    names, spans = rule_names(symbols, edges).view(np.int64), np.diff(edges)
+    return names[spans >= least].tolist(), spans[spans >= least].tolist()
 
 
 class _Tokens(dict):
@@ -240,12 +253,12 @@ def blob_features(blobs: DataFrame) -> DataFrame:
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 sequences = [np.array([known[t] for t in _TOKEN.findall(x)], dtype=np.uint64) for x in texts]
                 n = np.array([len(s) for s in sequences])
-                whole = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sequences]
-                size, _ = grammars(sequences)
+                whole = [int(rule_names(s, np.array([0, len(s)])).view(np.int64)[0]) for s in sequences]
+                size = grammars(sequences)
                 bodies = [s[len(_TOKEN.findall(x[: head_end(x)])) :] for s, x in zip(sequences, texts, strict=True)]
                 rules, spans = zip(*map(start_rules, bodies), strict=True)
                 said = [head_says(x) for x in texts]
-                columns = [part.column(0), [s[0] for s in said], [s[1] for s in said], [minified(x) for x in texts], [data_share(x) for x in texts], n.astype(np.int32), 1 - size / np.maximum(n, 1), whole, [len(b) for b in bodies], rules, spans]
+                columns = [part.column(0), [s[0] for s in said], [s[1] for s in said], [minified(x) for x in texts], data_shares(texts), n.astype(np.int32), 1 - size / np.maximum(n, 1), whole, [len(b) for b in bodies], rules, spans]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return blobs.where("blob_sha is not null").select("blob_sha", "text").mapInArrow(read, FEATURES)
@@ -266,6 +279,36 @@ def path_kind(path: Column) -> Column:
 
 REUSE = 0.42  # written code seldom repeats more than a third of itself, templates hardly less than half
 DATA = 0.5
+SIGNALS = ("head_vendored", "minified", "incompressible", "head_generated", "reuse", "shared_rules")
+
+
+def blob_signals(rows: DataFrame, features: DataFrame, reuse: float, data: float) -> DataFrame:
+    """(blob_sha, one boolean per signal) of blobs with any. rows: (repo_id, blob_sha).
+
+    Rules are counted in one name space: a file's own name, shared by two repositories, makes it
+    vendored, and so do long rules of three or more that make up over SHARED_PART of its tokens.
+    """
+    long = features.select("blob_sha", "whole", "n_tokens", "n_body", "rules", "spans").dropDuplicates(["blob_sha"])
+    placed = rows.select("repo_id", "blob_sha").distinct().join(long.where("n_tokens > 0"), "blob_sha")
+    both = placed.groupBy("whole").agg(F.count_distinct("repo_id").alias("repos")).where("repos >= 2").select("whole")
+    shared = placed.select("repo_id", F.explode("rules").alias("rule")).distinct().groupBy("rule").agg(F.count("*").alias("repos")).where(F.col("repos") >= SHARED_BY).select("rule")
+    uses = long.select("blob_sha", "n_body", F.explode(F.arrays_zip("rules", "spans")).alias("r")).select("blob_sha", "n_body", F.col("r.rules").alias("rule"), F.col("r.spans").alias("span"))
+    made_up = uses.join(shared, "rule", "left_semi").groupBy("blob_sha", "n_body").agg(F.sum("span").alias("common")).where(F.col("common") > SHARED_PART * F.col("n_body")).select("blob_sha")
+    copied = long.join(both, "whole", "left_semi").select("blob_sha").union(made_up).distinct().withColumn("copied", F.lit(True))
+    said = (F.col("vendored"), F.col("minified"), F.col("data_share") >= data, F.col("generated"), F.col("reuse") >= reuse, F.coalesce("copied", F.lit(False)))
+    all_of = features.join(copied, "blob_sha", "left").select("blob_sha", *(c.alias(n) for c, n in zip(said, SIGNALS, strict=True))).distinct()
+    return all_of.where(" or ".join(SIGNALS))
+
+
+def text_kind() -> Column:
+    return (
+        F.when(F.col("head_vendored"), "vendored").when(F.col("minified"), "minified").when(F.col("incompressible"), "data")
+        .when(F.col("head_generated") | F.col("reuse"), "generated").when(F.col("shared_rules"), "vendored")
+    )
+
+
+def _change_rows(changes: DataFrame) -> DataFrame:
+    return changes.where("repo_id is not null and path is not null").select("repo_id", "path", "old_path", F.col("new_blob").alias("blob_sha")).distinct()
 
 
 def file_kinds(changes: DataFrame, blobs: DataFrame, reuse: float = REUSE, data: float = DATA) -> DataFrame:
@@ -274,23 +317,9 @@ def file_kinds(changes: DataFrame, blobs: DataFrame, reuse: float = REUSE, data:
     A path has the first kind that any of its versions shows, in the order vendored, minified,
     data, generated. Rows without repository or path say nothing; a blob that is missing leaves the path to speak.
     """
-    rows = changes.where("repo_id is not null and path is not null").select("repo_id", "path", "old_path", F.col("new_blob").alias("blob_sha")).distinct()
+    rows = _change_rows(changes)
     features = stored(blob_features(blobs), "file-features")
-    long = features.where(F.col("n_tokens") >= LEAST_TOKENS).select("blob_sha", "whole", "n_body", "rules", "spans").dropDuplicates(["blob_sha"])
-    placed = rows.select("repo_id", "blob_sha").distinct().join(long, "blob_sha")
-    both = placed.groupBy("whole").agg(F.count_distinct("repo_id").alias("repos")).where("repos >= 2").select("whole")
-    shared = placed.select("repo_id", F.explode("rules").alias("rule")).distinct().groupBy("rule").agg(F.count("*").alias("repos")).where(F.col("repos") >= SHARED_BY).select("rule")
-    uses = long.where(F.col("n_body") >= LEAST_TOKENS).select("blob_sha", "n_body", F.explode(F.arrays_zip("rules", "spans")).alias("r")).select("blob_sha", "n_body", F.col("r.rules").alias("rule"), F.col("r.spans").alias("span"))
-    made_up = uses.join(shared, "rule", "left_semi").groupBy("blob_sha", "n_body").agg(F.sum("span").alias("common")).where(F.col("common") > SHARED_PART * F.col("n_body")).select("blob_sha")
-    copied = long.join(both, "whole", "left_semi").select("blob_sha").union(made_up).distinct().withColumn("copied", F.lit(True))
-    kind = (
-        F.when(F.col("vendored"), "vendored")
-        .when(F.col("minified"), "minified")
-        .when(F.col("data_share") >= data, "data")
-        .when(F.col("generated") | ((F.col("n_tokens") >= LEAST_TOKENS) & (F.col("reuse") >= reuse)), "generated")
-        .when(F.col("copied"), "vendored")
-    )
-    by_text = cut_lineage(features.join(copied, "blob_sha", "left").select("blob_sha", kind.alias("text_kind")).where("text_kind is not null").distinct())
+    by_text = cut_lineage(blob_signals(rows, features, reuse, data).select("blob_sha", text_kind().alias("text_kind")))
     judged = rows.join(by_text, "blob_sha", "left")
     said = judged.withColumn("kind", F.coalesce(path_kind(F.col("path")), path_kind(F.col("old_path")), "text_kind"))
     marked = cut_lineage(said.where("kind is not null").select("repo_id", F.explode(F.array("path", "old_path")).alias("path"), "kind").where("path is not null").distinct())
@@ -308,6 +337,19 @@ def file_kinds(changes: DataFrame, blobs: DataFrame, reuse: float = REUSE, data:
     return best
 
 
+def signal_counts(changes: DataFrame, blobs: DataFrame, reuse: float = REUSE, data: float = DATA) -> DataFrame:
+    """(signals, n_paths): how many source paths each set of signals speaks for; a set of one decides alone.
+
+    Signals of all versions of a path are taken together; renames are not followed here.
+    """
+    rows = _change_rows(changes).where(is_source(F.col("path")))
+    features = stored(blob_features(blobs), "file-features")
+    names = F.filter(F.array(*(F.when(F.col(n), n) for n in ("path", *SIGNALS))), lambda x: x.isNotNull())
+    spoken = rows.join(blob_signals(rows, features, reuse, data), "blob_sha", "left").withColumn("path_says", path_kind(F.col("path")).isNotNull())
+    paths = spoken.groupBy("repo_id", "path").agg(F.max("path_says").alias("says"), *(F.max(F.coalesce(n, F.lit(False))).alias(n) for n in SIGNALS)).drop("path").withColumnRenamed("says", "path")
+    return paths.select(F.array_join(names, "+").alias("signals")).where("signals <> ''").groupBy("signals").agg(F.count("*").alias("n_paths"))
+
+
 def hand_written(changes: DataFrame, blobs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(repo_id, path): source paths that remain, for the repositories of the snapshots in any spelling."""
     from braidwork.llm.grouping import project_of

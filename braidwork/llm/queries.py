@@ -19,6 +19,7 @@ QUERIES = {
     "p6_split": lambda spark, d: grouping.grouped_split(table(spark, d, "snapshots"), table(spark, d, "repo_links")),
     "p7_found": lambda spark, d: handwritten.file_kinds(table(spark, d, "file_changes"), table(spark, d, "blobs")).select("repo_id", "path"),
     "p7_kinds": lambda spark, d: handwritten.file_kinds(table(spark, d, "file_changes"), table(spark, d, "blobs")),
+    "p7_signals": lambda spark, d: handwritten.signal_counts(table(spark, d, "file_changes"), table(spark, d, "blobs")),
     "p7_hand_written": lambda spark, d: handwritten.hand_written(table(spark, d, "file_changes"), table(spark, d, "blobs"), table(spark, d, "snapshots")),
     "p8_windows": lambda spark, d: packing.document_windows(table(spark, d, "documents")),
     "p8_report": lambda spark, d: packing.packing_report(table(spark, d, "documents")),
