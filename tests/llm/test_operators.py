@@ -353,7 +353,7 @@ def test_two_of_ten_lines_changed(spark):
     lines = written(31, 100).split("\n")
 
     def changed(k: int) -> str:
-        at = range(30 * k, 30 * k + len(lines) // 5)
+        at = range(30, 30 + len(lines) // 5)
         return "\n".join(line if i not in at else f"    own_{k}_{i} = {i}" for i, line in enumerate(lines))
 
     schema = "repo_id string, seq int, status string, path string, old_path string, new_blob string"
