@@ -353,8 +353,8 @@ def test_two_of_ten_lines_changed(spark):
     lines = written(31, 100).split("\n")
 
     def changed(k: int) -> str:
-        at = range(30, 30 + len(lines) // 5)
-        return "\n".join(line if i not in at else f"    own_{k}_{i} = {i}" for i, line in enumerate(lines))
+        own = written(60 + k, 60).split("\n")[6:]
+        return "\n".join([*lines[:30], *own[: len(lines) // 5], *lines[30 + len(lines) // 5 :]])
 
     schema = "repo_id string, seq int, status string, path string, old_path string, new_blob string"
     for n, want in ((2, 0), (3, 3)):
@@ -474,6 +474,44 @@ def test_plan_holds_its_demand_when_items_are_large():
     assert [held[k] for k in range(4)] == demand.tolist() and sum(t for _, t in plan) <= 13
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), min_size=1, max_size=12))
+def test_linear_program_and_its_bound(histogram):
+    lengths = np.array(sorted(histogram))
+    demand = np.array([histogram[n] for n in sorted(histogram)])
+    uses, value, bound = packing.configuration_lp(lengths, demand, 60)
+    size = float((lengths * demand).sum())
+    assert all(sum(lengths[k] * n for k, n in f) <= 60 for f in uses)
+    assert size / 60 - 1e-6 <= bound <= value + 1e-6
+    plan = packing.rounded(lengths, demand, 60, uses)
+    held = Counter()
+    for filling, times in plan:
+        assert sum(lengths[k] * n for k, n in filling.items()) <= 60
+        held.update({k: n * times for k, n in filling.items()})
+    windows = sum(t for _, t in plan)
+    assert [held[k] for k in range(len(lengths))] == demand.tolist() and bound - 1e-6 <= windows <= 1.3 * bound + 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 25), st.integers(1, 3), min_size=1, max_size=6), st.integers(0, 60))
+def test_fullest_is_the_best_subset(items, room):
+    lengths = np.array(sorted(items))
+    left = np.array([items[n] for n in sorted(items)])
+    sums = {0}
+    for n, times in items.items():
+        for _ in range(times):
+            sums |= {s + n for s in sums if s + n <= room}
+    filling = packing.fullest(lengths, left, room)
+    assert sum(int(lengths[k]) * n for k, n in filling.items()) == max(sums) and all(n <= left[k] for k, n in filling.items())
+
+
+def test_a_hot_length_is_ranked_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 50)
+    sizes = dict.fromkeys(range(1200), 300) | {k: 1024 for k in range(2000, 2100)} | {k: 124 for k in range(3000, 3400)}
+    df = spark.createDataFrame(list(sizes.items()), "doc_id long, n_tokens long")
+    assert check_packing(packing.pack(df).toPandas(), sizes, 1024) == 500
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|>"), (5, "x" * 20_000)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in packing.token_counts(df).collect()}
