@@ -24,7 +24,7 @@ QUERIES = {
     "p8_windows": lambda spark, d: packing.document_windows(table(spark, d, "documents")),
     "p8_report": lambda spark, d: packing.packing_report(table(spark, d, "documents")),
     "p9_found": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id"),
-    "p9_proximity": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"), slop=2, least=5),
+    "p9_proximity": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"), slop=2, least=10),
     "p10_found": lambda spark, d: lookalike.look_alike_pairs(table(spark, d, "documents")),
     "p10_canonical": lambda spark, d: lookalike.canonical_texts(table(spark, d, "documents")),
     "p10_classes": lambda spark, d: lookalike.look_classes(table(spark, d, "documents")),
