@@ -13,6 +13,8 @@ QUERIES = {
     "p3_found": lambda spark, d: defects.defective_pairs(table(spark, d, "qna_pairs")),
     "p3_labels": lambda spark, d: defects.defect_labels(table(spark, d, "qna_pairs")),
     "p4_found": lambda spark, d: vptree.similar_pairs(table(spark, d, "commits")),
+    "p4_classes": lambda spark, d: vptree.similar_members(table(spark, d, "commits")),
+    "p4_links": lambda spark, d: vptree.similar_links(table(spark, d, "commits"))[1],
     "p4_nearest_diff": lambda spark, d: vptree.nearest_rows(table(spark, d, "commits"), "diff_embedding"),
     "p4_nearest_state": lambda spark, d: vptree.nearest_rows(table(spark, d, "commits"), "repo_state_embedding"),
     "p6_found": lambda spark, d: grouping.straddling(table(spark, d, "snapshots"), table(spark, d, "repo_links")),

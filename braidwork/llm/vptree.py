@@ -1,10 +1,11 @@
 """Most similar vectors for every vector (problem 4).
 
-Vectors are sharded by a routing tree of vantage points fitted on a bounded sample; every shard
-holds a vantage-point tree. Subtrees and shards are pruned by the triangle inequality on chord
-distances, with the search radius multiplied by `factor`: at factor 1 the search is exact, below it
-some neighbours that straddle a boundary may be lost. Work is batched: a node tests all its queries
-at once and a leaf is one matrix product.
+Every shard belongs to a vantage point, fitted on a bounded sample, and holds the vectors nearest to
+it in a vantage-point tree. Shards and subtrees are pruned by the triangle inequality on chord
+distances, with the search radius multiplied by a factor: at factor 1 the search is exact, below it
+some neighbours behind a boundary may be lost. A vector of the shard of point v, where h is the
+point nearest to the query, is no nearer than half of what v is farther away than h. Work is
+batched: a node tests all its queries at once and a leaf is one matrix product.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from pyspark.sql import functions as F
 from braidwork.session import stored
 
 DIMENSION = 64
-SAMPLE_ROWS = 20_000  # vectors that fit the routing tree, at most
-SHARD_ROWS = 16_384  # vectors in a shard, about; no task holds more than SHARD_ROWS * 2
-QUERY_ROWS = 131_072  # queries that one task answers, at most
+SHARD_ROWS = 4_096  # vectors in a shard, about; no task holds more than SHARD_ROWS * 2
+MOST_SHARDS = 8_192  # vantage points of shards, at most (2 MB); over SHARD_ROWS times as many vectors, shards grow and are searched in blocks
+SAMPLE_ROWS = 16  # vectors a shard, in the sample that fits its vantage point
+QUERY_ROWS = 32_768  # queries that one task answers, at most
 LEAF_ROWS = 128
-RANGE_FACTOR = 0.2  # chords in d dimensions show a difference of about 1/sqrt(d) of their length to a vantage point
+RANGE_FACTOR = 0.3  # chords in d dimensions show a difference of about 1/sqrt(d) of their length to a vantage point
 NEAREST_FACTOR = 0.2
+ROUTING_FACTOR = 0.1  # between shards of the 10 nearest: boundaries run where vectors are few
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -123,45 +126,34 @@ class Tree:
 
 
 class Router:
-    """Top of the tree: sends vectors to their shard, and queries to every shard in reach."""
+    """The shards' vantage points: sends vectors to the nearest one, and queries to every one in reach."""
 
-    def __init__(self, sample: np.ndarray, shards: int, seed: int = 11):
-        self.shards = max(1, min(shards, len(sample) // 16 or 1))
-        self.splits: list[tuple[int, int, np.ndarray, float]] = []  # shard, new shard, vantage, radius; in order
+    def __init__(self, sample: np.ndarray, shards: int, seed: int = 11, turns: int = 5):
         rng = np.random.default_rng(seed)
-        groups = [np.arange(len(sample))]
-        while len(groups) < self.shards:
-            at = int(np.argmax([len(g) for g in groups]))
-            rows = groups[at]
-            probes = sample[rng.choice(rows, 16)]
-            vantage = probes[np.argmax([chord(sample[rows], p).var() for p in probes])]
-            away = chord(sample[rows], vantage)
-            middle = float(np.median(away))
-            inner = away <= middle
-            if inner.all():  # the sample cannot be told apart here; salting does the rest
-                break
-            groups[at] = rows[inner]
-            groups.append(rows[~inner])
-            self.splits.append((at, len(groups) - 1, vantage, middle))
-        self.shards = len(groups)
+        self.points = sample[rng.choice(len(sample), max(1, min(shards, MOST_SHARDS, len(sample))), replace=False)]
+        self.shards = len(self.points)
+        for _ in range(turns):  # points move to the middle of their shard, so that boundaries run where vectors are few
+            home = self.home(sample)
+            total = np.zeros_like(self.points)
+            np.add.at(total, home, sample)
+            length = np.linalg.norm(total, axis=1, keepdims=True)
+            self.points = np.where(length > 1e-6, total / np.maximum(length, 1e-6), self.points).astype(np.float32)
+
+    def _parts(self, n: int) -> Iterator[slice]:
+        step = max(1, (1 << 22) // self.shards)
+        return (slice(i, i + step) for i in range(0, n, step))
 
     def home(self, x: np.ndarray) -> np.ndarray:
-        shard = np.zeros(len(x), dtype=np.int32)
-        for at, new, vantage, middle in self.splits:
-            rows = np.flatnonzero(shard == at)
-            shard[rows[chord(x[rows], vantage) > middle]] = new
-        return shard
-
-    def reached(self, x: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        """Which shards (columns) lie within a query's reach."""
-        mask = np.zeros((len(x), self.shards), dtype=bool)
-        mask[:, 0] = True
-        for at, new, vantage, middle in self.splits:
-            rows = np.flatnonzero(mask[:, at])
-            away = chord(x[rows], vantage)
-            mask[rows, new] = away > middle - reach[rows]
-            mask[rows, at] = away <= middle + reach[rows]
-        return mask
+        return np.concatenate([np.empty(0, np.int32), *((x[p] @ self.points.T).argmax(axis=1).astype(np.int32) for p in self._parts(len(x)))])
+
+    def reached(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, shards): every shard that may hold a vector within a row's reach."""
+        rows, shards = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for p in self._parts(len(x)):
+            away = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x[p] @ self.points.T)))
+            i, j = np.nonzero(away - away.min(axis=1, keepdims=True) <= 2 * reach[p, None] + 1e-6)
+            rows.append(i + p.start), shards.append(j)
+        return np.concatenate(rows), np.concatenate(shards)
 
 
 def usable_vectors(df: DataFrame, field: str, row_id: str = "commit_sha") -> DataFrame:
@@ -183,9 +175,11 @@ def usable_vectors(df: DataFrame, field: str, row_id: str = "commit_sha") -> Dat
 
 
 def fit_router(classes: DataFrame, n: int) -> Router:
-    every = max(1, -(-n // SAMPLE_ROWS))
-    rows = classes.where(F.pmod(F.xxhash64("cls"), F.lit(every)) == 0).select("vec").limit(SAMPLE_ROWS * 2).collect()
-    return Router(_unit(_vectors([bytes(r.vec) for r in rows])), -(-n // SHARD_ROWS)) if rows else Router(np.zeros((1, DIMENSION), np.float32), 1)
+    """As many shards as n asks for. The sample's size is bounded by MOST_SHARDS * SAMPLE_ROWS; every vector is routed."""
+    shards = min(MOST_SHARDS, -(-n // SHARD_ROWS))
+    every = max(1, n // max(1024, shards * SAMPLE_ROWS))
+    rows = classes.where(F.pmod(F.xxhash64("cls"), F.lit(every)) == 0).select("vec").limit(4 * max(1024, shards * SAMPLE_ROWS)).collect()
+    return Router(_unit(_vectors([bytes(r.vec) for r in rows])) if rows else np.zeros((1, DIMENSION), np.float32), shards)
 
 
 ROUTED = pa.schema([("shard", pa.int32()), ("role", pa.int32()), ("cls", pa.int64()), ("vec", pa.binary()), ("floor", pa.float32())])
@@ -204,10 +198,10 @@ def _routed(router: Router, factor: float, cosine: float | None, elsewhere: bool
             if cosine is None and not elsewhere:
                 rows, shards = np.arange(len(x)), home
             else:
-                mask = router.reached(x, factor * np.sqrt(np.maximum(0.0, 2.0 - 2.0 * floor)))
+                rows, shards = router.reached(x, factor * np.sqrt(np.maximum(0.0, 2.0 - 2.0 * floor)))
                 if elsewhere:
-                    mask[np.arange(len(x)), home] = False
-                rows, shards = np.nonzero(mask)
+                    other = shards != home[rows]
+                    rows, shards = rows[other], shards[other]
             for role, at, shard in ((0, np.arange(len(x)), home), (1, rows, shards)):
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(np.full(len(at), role, np.int32)), cls.take(take), packed.take(take), pa.array(floor[at].astype(np.float32))], schema=ROUTED)
@@ -261,17 +255,20 @@ def similar_classes(classes: DataFrame, n: int, cosine: float, factor: float) ->
     return _blocked(routed, router).groupBy("shard", "index_block", "query_block").applyInArrow(search, "cls_a long, cls_b long").distinct()
 
 
+def similar_links(df: DataFrame, field: str = "diff_embedding", cosine: float = 0.95, factor: float = RANGE_FACTOR) -> tuple[DataFrame, DataFrame]:
+    """(members, links): (row_id, cls) of all usable rows, copies of a vector being one class; (cls_a, cls_b) of classes that reach the cosine."""
+    vectors = stored(usable_vectors(df, field), "vp-vectors")
+    classes = stored(vectors.groupBy("cls").agg(F.first("vec").alias("vec")), "vp-classes")
+    return vectors.select("row_id", "cls").distinct(), similar_classes(classes, classes.count(), cosine, factor)
+
+
 def similar_pairs(df: DataFrame, field: str = "diff_embedding", cosine: float = 0.95, factor: float = RANGE_FACTOR) -> DataFrame:
     """(commit_sha_a, commit_sha_b), smaller first, of rows whose vectors reach the cosine.
 
     Copies of a vector are searched once and expanded at the end. Unusable vectors take no part;
     rows delivered again count once.
     """
-    vectors = stored(usable_vectors(df, field), "vp-vectors")
-    classes = vectors.groupBy("cls").agg(F.first("vec").alias("vec"))
-    classes = stored(classes, "vp-classes")
-    links = similar_classes(classes, classes.count(), cosine, factor)
-    members = vectors.select("row_id", "cls").distinct()
+    members, links = similar_links(df, field, cosine, factor)
     a, b = (members.select(F.col("row_id").alias(f"row_{x}"), F.col("cls").alias(f"cls_{x}")) for x in "ab")
     near = a.join(links, "cls_a").join(b, "cls_b").select("row_a", "row_b")
     same = a.join(b, F.col("cls_a") == F.col("cls_b")).where("row_a < row_b").select("row_a", "row_b")
@@ -279,7 +276,16 @@ def similar_pairs(df: DataFrame, field: str = "diff_embedding", cosine: float =
     return pairs.select(F.least("row_a", "row_b").alias("commit_sha_a"), F.greatest("row_a", "row_b").alias("commit_sha_b")).distinct()
 
 
-def nearest_classes(classes: DataFrame, n: int, k: int, factor: float) -> DataFrame:
+def similar_members(df: DataFrame, field: str = "diff_embedding", cosine: float = 0.95, factor: float = RANGE_FACTOR) -> DataFrame:
+    """(commit_sha, vector_class, n_copies, n_links): every usable row once, with the rows that share its vector and the other classes it reaches. No pairs are expanded."""
+    members, links = similar_links(df, field, cosine, factor)
+    ends = links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    copies = members.groupBy("cls").agg(F.count("*").alias("n_copies"))
+    per_class = copies.join(ends, "cls", "left").select("cls", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(per_class, "cls").select(F.col("row_id").alias("commit_sha"), F.col("cls").alias("vector_class"), "n_copies", "n_links")
+
+
+def nearest_classes(classes: DataFrame, n: int, k: int, factor: float, routing: float) -> DataFrame:
     """(cls, other, cosine): up to k most similar other vectors of each vector."""
     router = fit_router(classes, n)
     schema = pa.schema([("cls", pa.int64()), ("other", pa.int64()), ("cosine", pa.float32())])
@@ -300,22 +306,23 @@ def nearest_classes(classes: DataFrame, n: int, k: int, factor: float) -> DataFr
         return _blocked(sent, router).groupBy("shard", "index_block", "query_block").applyInArrow(search, "cls long, other long, cosine float")
 
     best = Window.partitionBy("cls").orderBy(F.desc("cosine"), "other")
-    home = stored(run(stored(classes.select("cls", "vec").mapInArrow(_routed(router, factor, None, False), ROUTED_SQL), "vp-home")), "vp-near")
+    home = stored(run(stored(classes.select("cls", "vec").mapInArrow(_routed(router, routing, None, False), ROUTED_SQL), "vp-home")), "vp-near")
     floors = home.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).groupBy("cls").agg(F.min("cosine").alias("low"), F.count("*").alias("n"))
     known = classes.join(floors, "cls", "left").select("cls", "vec", F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(-1.0)).cast("float").alias("floor"))
-    away = run(stored(known.mapInArrow(_routed(router, factor, None, True), ROUTED_SQL), "vp-away"))
+    away = run(stored(known.mapInArrow(_routed(router, routing, None, True), ROUTED_SQL), "vp-away"))
     return home.unionByName(away).distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 
 
-def nearest_rows(df: DataFrame, field: str, k: int = 10, factor: float = NEAREST_FACTOR) -> DataFrame:
+def nearest_rows(df: DataFrame, field: str, k: int = 10, factor: float = NEAREST_FACTOR, routing: float = ROUTING_FACTOR) -> DataFrame:
     """(field, commit_sha, neighbour_sha, cosine, rank): the k most similar other rows of every usable row.
 
-    Equal cosines are ranked by the neighbour's id. Rows that hold the same vector are neighbours
+    factor relaxes the pruning inside shards, routing that between them; both 1 is exact. Equal
+    cosines are ranked by the neighbour's id. Rows that hold the same vector are neighbours
     at cosine 1; no more than k + 1 of them are ever needed.
     """
     vectors = stored(usable_vectors(df, field), "vp-vectors")
     classes = stored(vectors.groupBy("cls").agg(F.first("vec").alias("vec")), "vp-classes")
-    links = nearest_classes(classes, classes.count(), k, factor)
+    links = nearest_classes(classes, classes.count(), k, factor, routing)
     members = stored(vectors.select("row_id", "cls").distinct(), "vp-members")
     few = members.withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy("row_id"))).where(F.col("place") <= k + 1)
     own = classes.select("cls", F.col("cls").alias("other"), F.lit(1.0).cast("float").alias("cosine"))

@@ -222,6 +222,21 @@ def test_search_through_shards_reaches_its_recall(spark, monkeypatch):
     assert exact == want
 
 
+def test_router_loses_nothing_at_factor_one():
+    x = vptree._unit(clustered(900, 5))
+    router = vptree.Router(x[:400], 24)
+    home = router.home(x)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    chord = np.sqrt(2 - 2 * np.sort(s, axis=1)[:, -10])
+    rows, shards = router.reached(x, chord)
+    reached = set(zip(rows.tolist(), shards.tolist(), strict=True))
+    near = np.argsort(-s, axis=1)[:, :10]
+    assert router.shards == 24 and all((i, int(home[j])) in reached for i in range(len(x)) for j in near[i])
+    few, _ = router.reached(x, 0.1 * chord)
+    assert len(few) < 0.5 * len(rows)
+
+
 def test_unusable_and_hot_vectors(spark, monkeypatch):
     monkeypatch.setattr(vptree, "SHARD_ROWS", 8)
     monkeypatch.setattr(vptree, "QUERY_ROWS", 16)
@@ -232,6 +247,9 @@ def test_unusable_and_hot_vectors(spark, monkeypatch):
     hot = [(f"e{i:02d}", same) for i in range(10)]
     df = vector_rows(spark, np.zeros((0, 64)), bad + near + hot + hot)
     assert vptree.similar_pairs(df).count() == 70 * 69 // 2
+    members = vptree.similar_members(df).toPandas()
+    assert len(members) == 70 and members.n_links.eq(60).all() and members[members.n_copies == 10].vector_class.nunique() == 1
+    assert vptree.similar_links(df)[1].count() == 61 * 60 // 2
     got = vptree.nearest_rows(df, "diff_embedding", 10).toPandas()
     assert set(got.commit_sha) == {r[0] for r in near + hot} and got.groupby("commit_sha").size().eq(10).all()
     assert vptree.similar_pairs(df.where("false")).count() == 0 and vptree.nearest_rows(df.where("false"), "diff_embedding").count() == 0
