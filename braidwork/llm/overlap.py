@@ -1,16 +1,18 @@
 """Same or near-same records across splits (problem 1).
 
 A weighted cosine join over inverted lists. Terms are (target, word, n-th occurrence), so two
-records share a term only if their targets agree, and the dot product of two unit vectors of equal
-weights is the multiset overlap of their words over the root of both lengths. That cosine is never
-below the ordered overlap 2 x common / (sum of both) the query asks for, so the join loses nothing.
+records share a term only if their targets agree. A term weighs more the rarer its word is, by
+inverse document frequency scaled to squares between 1 and SPREAD. The pairs wanted have words in
+common, in order, of at least `threshold` times the mean of both lengths. Let w be the least weight
+squared of a common term and SPREAD * w the most of any other: with a part c of the words common,
+the cosine is at least c / (c + SPREAD * (1 - c)). Lists are pruned and joined at that bound, so the
+join loses no pair; exact dot products and the order of words are then verified.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from braidwork.session import stored
 
 THRESHOLD = 0.75
+SPREAD = 2.0  # how much more a rare word weighs than a frequent one, squared
 SKETCH = 1 << 18  # counters of the term frequency sketch: its size is fixed, whatever the corpus holds
 _WORD = re.compile(r"\w+")
 _U64 = (1 << 64) - 1
@@ -93,32 +96,44 @@ def _occurrences(seq: np.ndarray) -> np.ndarray:
     return out
 
 
-def indexed_terms(seq: np.ndarray, tkey: int, sketch: np.ndarray, threshold: float, weighting: str = "equal") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(term, weight, residual norm behind it) of the rarest terms that must be indexed.
+def cosine_bound(threshold: float, spread: float = SPREAD) -> float:
+    """The least weighted cosine of two records with `threshold` of their words in common."""
+    return threshold / (threshold + spread * (1.0 - threshold))
+
+
+def term_weights(freq: np.ndarray, n_classes: int, spread: float = SPREAD) -> np.ndarray:
+    """Inverse document frequencies, scaled so that squares run from 1 (in every class) to spread (in one only)."""
+    rarity = 1.0 - np.log(np.clip(freq, 1, n_classes)) / np.log(max(2, n_classes))
+    return np.sqrt(1.0 + (spread - 1.0) * rarity)
+
+
+def indexed_terms(seq: np.ndarray, tkey: int, sketch: np.ndarray, bound: float, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(term, weight, residual norm behind it) of the rarest terms that must be indexed, and the whole norm.
 
     Terms are left out from the frequent end as long as the norm of what is left out stays under
-    the threshold: no unit vector can reach the threshold with those terms alone.
+    the bound: no unit vector can reach the bound with those terms alone.
     """
     nth = _occurrences(seq)
     freq = sketch[seq % SKETCH]
     order = np.lexsort((nth, seq, freq))
     seq, nth, freq = seq[order].astype(np.uint64), nth[order].astype(np.uint64), freq[order]
-    weight = np.ones(len(seq)) if weighting == "equal" else np.log1p(sketch.max() / np.maximum(freq, 1))
-    weight = weight / np.sqrt((weight**2).sum())
+    weight = term_weights(freq, n_classes)
+    norm = float(np.sqrt((weight**2).sum()))
+    weight = weight / norm
     tail = np.sqrt(np.maximum(0.0, np.cumsum((weight**2)[::-1])[::-1]))  # norm from here on
-    keep = int((tail >= threshold - 1e-9).sum())
+    keep = int((tail >= bound - 1e-9).sum())
     with np.errstate(over="ignore"):
         term = (seq * np.uint64(0x9E3779B97F4A7C15)) ^ ((nth + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (np.uint64(tkey & _U64) * np.uint64(0x165667B19E3779F9))
         term ^= term >> np.uint64(29)
         term *= np.uint64(0xBF58476D1CE4E5B9)
     behind = np.append(tail[1:], 0.0)
-    return term[:keep].view(np.int64), weight[:keep], behind[:keep]
+    return term[:keep].view(np.int64), weight[:keep], behind[:keep], norm
 
 
-def postings(classes: DataFrame, sketch: np.ndarray, threshold: float, weighting: str = "equal") -> DataFrame:
-    """Inverted lists: (term, cls, sides, n, w, rest, heaviest)."""
+def postings(classes: DataFrame, sketch: np.ndarray, bound: float, n_classes: int) -> DataFrame:
+    """Inverted lists: (term, cls, sides, norm, w, rest)."""
     shared = classes.sparkSession.sparkContext.broadcast(sketch)
-    schema = pa.schema([("term", pa.int64()), ("cls", pa.int64()), ("sides", pa.int32()), ("n", pa.int32()), ("w", pa.float32()), ("rest", pa.float32()), ("heaviest", pa.float32())])
+    schema = pa.schema([("term", pa.int64()), ("cls", pa.int64()), ("sides", pa.int32()), ("norm", pa.float32()), ("w", pa.float32()), ("rest", pa.float32())])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -128,14 +143,14 @@ def postings(classes: DataFrame, sketch: np.ndarray, threshold: float, weighting
                 seq = np.frombuffer(packed, dtype="<u4")
                 if not len(seq):
                     continue
-                term, w, rest = indexed_terms(seq, tkey, counts, threshold, weighting)
+                term, w, rest, norm = indexed_terms(seq, tkey, counts, bound, n_classes)
                 k = len(term)
-                for part, value in zip(parts, (term, np.full(k, cls), np.full(k, sides), np.full(k, len(seq)), w, rest, np.full(k, w.max())), strict=True):
+                for part, value in zip(parts, (term, np.full(k, cls), np.full(k, sides), np.full(k, norm), w, rest), strict=True):
                     part.append(value)
             columns = [np.concatenate(p) if p else np.empty(0) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return classes.select("cls", "tkey", "sides", "seq").mapInArrow(index, "term long, cls long, sides int, n int, w float, rest float, heaviest float")
+    return classes.select("cls", "tkey", "sides", "seq").mapInArrow(index, "term long, cls long, sides int, norm float, w float, rest float")
 
 
 def common_in_order(a: np.ndarray, b: np.ndarray) -> int:
@@ -151,14 +166,21 @@ def common_in_order(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        keep = []
-        for one, two in zip(frame.seq_a, frame.seq_b, strict=True):
-            a, b = np.frombuffer(one, dtype="<u4"), np.frombuffer(two, dtype="<u4")
-            dot = sum((Counter(a.tolist()) & Counter(b.tolist())).values())  # exact, before the roots of both lengths
-            keep.append(dot >= THRESHOLD * math.sqrt(len(a) * len(b)) - 1e-9 and 2 * common_in_order(a, b) >= THRESHOLD * (len(a) + len(b)))
-        yield frame.loc[keep, ["cls_a", "cls_b"]]
+def _verified(sketch, bound: float, n_classes: int, threshold: float):
+    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keep = []
+            for one, two in zip(frame.seq_a, frame.seq_b, strict=True):
+                a, b = np.frombuffer(one, dtype="<u4"), np.frombuffer(two, dtype="<u4")
+                words, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
+                squares = term_weights(sketch.value[words % SKETCH], n_classes) ** 2
+                in_a, in_b = np.bincount(codes[: len(a)], minlength=len(words)), np.bincount(codes[len(a) :], minlength=len(words))
+                dot = float((squares * np.minimum(in_a, in_b)).sum())  # exact, before both norms
+                norms = math.sqrt(float((squares * in_a).sum()) * float((squares * in_b).sum()))
+                keep.append(dot >= bound * norms - 1e-9 and 2 * common_in_order(a, b) >= threshold * (len(a) + len(b)))
+            yield frame.loc[keep, ["cls_a", "cls_b"]]
+
+    return verify
 
 
 def overlap_classes(qna: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -175,20 +197,31 @@ def overlap_classes(qna: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     members = sequences.select("qna_id", "side", "cls").distinct()
     grouped = sequences.groupBy("cls").agg(F.first("tkey").alias("tkey"), F.first("seq").alias("seq"), F.bit_or(F.col("side") + 1).alias("sides"))
     classes = stored(grouped, "overlap-classes")
-    lists = stored(postings(classes, frequency_sketch(classes), threshold), "overlap-postings")
-    a = lists.where("(sides & 1) > 0").select("term", *(F.col(c).alias(f"{c}_a") for c in ("cls", "n", "w", "rest", "heaviest")))
-    b = lists.where("(sides & 2) > 0").select("term", *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "w", "rest", "heaviest")))
-    slack = threshold - 1e-5
+    sketch, n_classes, bound = frequency_sketch(classes), classes.count(), cosine_bound(threshold)
+    lists = stored(postings(classes, sketch, bound, n_classes), "overlap-postings")
+    a = lists.where("(sides & 1) > 0").select("term", *(F.col(c).alias(f"{c}_a") for c in ("cls", "norm", "w", "rest")))
+    b = lists.where("(sides & 2) > 0").select("term", *(F.col(c).alias(f"{c}_b") for c in ("cls", "norm", "w", "rest")))
+    slack = bound - 1e-5
     met = a.join(b, "term").where(F.col("cls_a") != F.col("cls_b"))
-    # maximum weight: the dot product is at most both heaviest weights times the shorter length
-    met = met.where(F.col("heaviest_a") * F.col("heaviest_b") * F.least("n_a", "n_b") >= slack)
+    # maximum weight: a shared term weighs the same in both before scaling, so the dot product is at most the smaller norm squared over both norms
+    met = met.where(F.least("norm_a", "norm_b") >= slack * F.greatest("norm_a", "norm_b"))
     # residual norm: at the first common term, at most both tails are still to come
     met = met.where(F.col("w_a") * F.col("w_b") + F.col("rest_a") * F.col("rest_b") >= slack)
     pairs = met.select("cls_a", "cls_b").distinct()
     wide = classes.select("cls", "seq")
     pairs = pairs.join(wide.select(F.col("cls").alias("cls_a"), F.col("seq").alias("seq_a")), "cls_a").join(wide.select(F.col("cls").alias("cls_b"), F.col("seq").alias("seq_b")), "cls_b")
-    links = pairs.mapInPandas(_verify, "cls_a long, cls_b long")
-    return members, links
+    shared = qna.sparkSession.sparkContext.broadcast(sketch)
+    return members, pairs.mapInPandas(_verified(shared, bound, n_classes, threshold), "cls_a long, cls_b long")
+
+
+def overlap_members(qna: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(qna_id, side, overlap_class, n_train, n_eval, n_links): every record whose target occurs on both sides, once, with the
+    training and evaluation records of its class of exact copies and the other classes linked to it. No pairs are expanded."""
+    members, links = overlap_classes(qna, threshold)
+    ends = links.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other")).unionByName(links.select(F.col("cls_b").alias("cls"), F.col("cls_a").alias("other"))).distinct().groupBy("cls").agg(F.count("*").alias("n_links"))
+    sizes = members.groupBy("cls").agg(F.sum(1 - F.col("side")).alias("n_train"), F.sum("side").alias("n_eval"))
+    per_class = sizes.join(ends, "cls", "left").select("cls", "n_train", "n_eval", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(per_class, "cls").select("qna_id", "side", F.col("cls").alias("overlap_class"), "n_train", "n_eval", "n_links")
 
 
 def overlapping_pairs(qna: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from braidwork.session import table
 
 QUERIES = {
     "p1_found": lambda spark, d: overlap.overlapping_pairs(table(spark, d, "qna_pairs")),
+    "p1_classes": lambda spark, d: overlap.overlap_members(table(spark, d, "qna_pairs")),
+    "p1_links": lambda spark, d: overlap.overlap_classes(table(spark, d, "qna_pairs"))[1],
     "p1_report": lambda spark, d: overlap.overlap_report(table(spark, d, "qna_pairs")),
     "p2_found": lambda spark, d: chunks.cut_kinds(table(spark, d, "commits")),
     "p2_pieces": lambda spark, d: chunks.long_diff_pieces(table(spark, d, "commits")),

@@ -68,6 +68,39 @@ def test_overlap_equals_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.sampled_from("abc")), min_size=1, max_size=30), st.dictionaries(st.integers(0, 9), st.integers(1, 500), max_size=10), st.floats(0.5, 0.95))
+def test_weighted_cosine_is_never_below_its_bound(steps, freq, threshold):
+    """Two word lists cut from one: where enough words are common, the weighted cosine reaches the bound, and the indexed terms meet."""
+    one, two = [w for w, k in steps if k in "ab"], [w for w, k in steps if k in "ac"]
+    common = sum((Counter(one) & Counter(two)).values())
+    if not one or not two or 2 * common < threshold * (len(one) + len(two)):
+        return
+    sketch = np.zeros(overlap.SKETCH, dtype=np.int64)
+    for w, n in freq.items():
+        sketch[w] = n
+    bound = overlap.cosine_bound(threshold)
+    weight = lambda words: Counter({w: n for w, n in Counter(words).items()})
+    square = lambda w: float(overlap.term_weights(sketch[w : w + 1], 500)[0] ** 2)
+    dot = sum(square(w) * n for w, n in (weight(one) & weight(two)).items())
+    norms = [sum(square(w) * n for w, n in weight(x).items()) ** 0.5 for x in (one, two)]
+    assert dot / norms[0] / norms[1] >= bound - 1e-9 and min(norms) >= (bound - 1e-9) * max(norms)
+    terms = [overlap.indexed_terms(np.array(x, dtype="<u4"), 7, sketch, bound, 500) for x in (one, two)]
+    shared = set(terms[0][0].tolist()) & set(terms[1][0].tolist())
+    assert shared
+    at = [{t: (w, r) for t, w, r in zip(*x[:3], strict=True)} for x in terms]
+    assert any(at[0][t][0] * at[1][t][0] + at[0][t][1] * at[1][t][1] >= bound - 1e-5 for t in shared)
+
+
+def test_the_threshold_is_honoured(spark):
+    words = [f"w{i}" for i in range(20)]
+    rows = [("train", "train", " ".join(words), "x"), ("cr_val", "val", " ".join(words[:17] + ["q1", "q2", "q3"]), "x"), ("cr_val", "val", " ".join(words[:19] + ["q4"]), "x")]
+    for threshold, want in ((0.75, 2), (0.9, 1), (0.96, 0)):
+        assert overlap.overlap_classes(qna(spark, rows), threshold)[1].count() == want
+    got = {r.qna_id: (r.n_train, r.n_eval, r.n_links) for r in overlap.overlap_members(qna(spark, rows + rows[:1])).collect()}
+    assert got == {0: (2, 0, 2), 3: (2, 0, 2), 1: (0, 1, 1), 2: (0, 1, 1)}
+
+
 def test_overlap_of_a_hot_group_of_copies(spark):
     rows = [("train", "train", "a b c d e f", "hot")] * 60 + [("cr_val", "val", "a b c d e f", "hot")] * 5 + [("cr_val", "val", f"q{i} r s t", "cold") for i in range(20)]
     members, links = overlap.overlap_classes(qna(spark, rows))
