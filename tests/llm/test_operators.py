@@ -612,6 +612,28 @@ def test_other_look(a, b):
     assert lookalike.skeleton(a) != lookalike.skeleton(b)
 
 
+@pytest.mark.parametrize(("a", "b"), [("𝐩𝖺𝚢 ℓoad", "pay load"), ("Ⅻ", "XII"), ("ĳs", "ijs"), ("ﬂow", "flow"), ("ꓑꓮꓬ", "PAY"), ("ᎬᎪᏚᎢ", "EAST"), ("Ⲣⲟⲣ", "Pop"), ("ﻫ", "ه")])
+def test_compatibility_forms_and_other_scripts(a, b):
+    assert lookalike.Reader({}).read(a) == lookalike.Reader({}).read(b)
+
+
+@pytest.mark.parametrize(("a", "b"), [("①", "1"), ("x₂", "x2"), ("½", "1/2"), ("™", "TM"), ("㎏", "kg")])
+def test_raised_and_enclosed_forms_stay(a, b):
+    assert lookalike.Reader({}).read(a) != lookalike.Reader({}).read(b)
+
+
+def test_every_word_is_searched():
+    """A word of look-alikes only takes the script that its letters or its neighbours speak for."""
+    counts = Counter()
+    for text, n in (("очередь растёт после проверки сорока серверов", 50), ("the queue grows after a check of each server", 50)):
+        for word in text.split():
+            counts.update({k: v * n for k, v in lookalike.bigrams_of(lookalike.apart(word)).items()})
+    reader = lookalike.Reader(counts)
+    assert reader.read("растёт a проверки") == reader.read("растёт а проверки") == "растёт а проверки"
+    assert reader.read("after а check") == "after a check"
+    assert {"check", "after"} <= reader.plain and len(reader.readings(lookalike.apart("сорока"))) >= 1
+
+
 def test_readings_keep_to_one_script(spark):
     docs = [(1, "проверка после запуска очередь растёт"), (2, "the queue grows after the check"), (3, "пpoвepкa после зaпycкa"), (4, "тhе quеuе grоwѕ"), (5, "проверка payload после"), (6, None), (7, "")] + [(k, "loading the layout, paint on a toad, plain text of any kind") for k in range(50, 70)] + [(k, "очередь растёт после проверки а потом снова") for k in range(20, 40)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
