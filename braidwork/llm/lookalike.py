@@ -121,6 +121,7 @@ def bigrams_of(word: str) -> Counter:
 
 
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_ASCII_LETTERS = re.compile("[A-Za-z]+")
 MOST_WORDS = 300_000  # words whose readings a Python worker keeps; more empty its store
 
 
@@ -180,7 +181,8 @@ class Reader:
 
     def read_flat(self, flat: str) -> str:
         """The reading of a text whose look-alike classes are given, as `apart` gives them."""
-        words = _LETTERS.findall(flat)
+        letters = _ASCII_LETTERS if flat.isascii() else _LETTERS
+        words = letters.findall(flat)
         fresh = set(words).difference(self.plain)
         if not any(len(found) > 1 or found[0][:2] != (LATIN, LATIN) or found[0][3] != w for w in fresh for found in (self.readings(w),)):
             return unicodedata.normalize("NFC", flat)  # the search left every word one reading, as it stands
@@ -198,7 +200,7 @@ class Reader:
             out.append(node[0])
             node = node[1]
         shown = iter(reversed(out))
-        return unicodedata.normalize("NFC", _LETTERS.sub(lambda _: next(shown), flat))
+        return unicodedata.normalize("NFC", letters.sub(lambda _: next(shown), flat))
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

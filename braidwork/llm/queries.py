@@ -12,8 +12,9 @@ QUERIES = {
     "p1_report": lambda spark, d: overlap.overlap_report(table(spark, d, "qna_pairs")),
     "p2_found": lambda spark, d: chunks.cut_kinds(table(spark, d, "commits")),
     "p2_pieces": lambda spark, d: chunks.long_diff_pieces(table(spark, d, "commits")),
-    "p3_found": lambda spark, d: defects.defective_pairs(table(spark, d, "qna_pairs")),
-    "p3_labels": lambda spark, d: defects.defect_labels(table(spark, d, "qna_pairs")),
+    "p3_found": lambda spark, d: defects.defective_pairs(table(spark, d, "qna_pairs"), table(spark, d, "documents")),
+    "p3_labels": lambda spark, d: defects.defect_labels(table(spark, d, "qna_pairs"), table(spark, d, "documents")),
+    "p3_validation": lambda spark, d: defects.validation_report(table(spark, d, "qna_pairs"), table(spark, d, "documents")),
     "p4_found": lambda spark, d: vptree.similar_pairs(table(spark, d, "commits")),
     "p4_classes": lambda spark, d: vptree.similar_members(table(spark, d, "commits")),
     "p4_links": lambda spark, d: vptree.similar_links(table(spark, d, "commits"))[1],

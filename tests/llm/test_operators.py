@@ -197,10 +197,21 @@ CASES = [
 def test_defects_by_label_model(spark):
     rows = [(i, *case[:3]) for i, case in enumerate(CASES * 12)] + [(10_000 + i, "def t():\n    assert x == ", f"value_{i}", "assert") for i in range(600)]
     df = spark.createDataFrame(rows, "qna_id long, prefix string, target string, assertion_type string").withColumn("pattern", F.lit("clash"))
-    got = {r.qna_id: r.defect for r in defects.defective_pairs(df.unionByName(df)).collect()}
+    docs = table(spark, DATA.replace("0.001", "0.01"), "documents").withColumn("slot", F.lit(1))
+    got = {r.qna_id: r.defect for r in defects.defective_pairs(df.unionByName(df), docs).collect()}
     assert {i: got.get(i) for i in range(len(CASES))} == {i: case[3] for i, case in enumerate(CASES)}
     assert not any(i >= 10_000 for i in got)
-    assert defects.defective_pairs(df.where("false")).count() == 0
+    assert defects.defective_pairs(df.where("false"), docs).count() == 0
+    assert {r.defect for r in defects.validation_report(df, docs).collect() if r.precision > 0.9 and r.recall > 0.9} >= {"empty", "copy", "truncated", "refusal"}
+
+
+def test_languages_by_trigrams(spark):
+    """No word of these is listed anywhere; Swedish, Indonesian, Turkish and Czech are not among the documents either."""
+    model = defects.fit_languages(table(spark, DATA.replace("0.001", "0.01"), "documents"))
+    english = ["Not sure", "No reply given", "Ask the author", "I cannot tell", "This cannot be worked out from what is shown", "Unknown without the fixture file"]
+    foreign = ["Nilai ini tidak boleh kosong karena dipakai lagi nanti", "Detta värde är okänt och måste kontrolleras senare", "Bu değer daha sonra kontrol edilecek", "Hodnota není známa a bude ověřena", "Der Wert wird später geprüft", "el valor no está en la caché"]
+    assert [model.english(t.split()) for t in english] == [1] * len(english)
+    assert [model.english(t.split()) for t in foreign] == [-1] * len(foreign)
 
 
 def test_label_model_recovers_voters():
