@@ -1,8 +1,10 @@
 """Splitting oversized diffs at natural boundaries (problem 2).
 
 Lines too wide to leave room for an overlap are set apart first. The runs between them get balanced
-targets: the least number of pieces is computed, equal-length targets are placed, each is snapped to the strongest boundary near it (file, hunk, line), and pieces are added until every
-piece, its overlap with the one before included, keeps the limit.
+targets: the least number of pieces is computed, equal-length targets are placed, each is snapped to
+the strongest boundary near it (file, hunk, line), and pieces are added until every piece, its
+overlap with the one before included, keeps the limit; cuts that the limit does not need are then
+taken back, the weakest first.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,24 +76,29 @@ def _cuts(at: list[int], strength: list[int], low: int, high: int, limit: int, r
                 apart.append((a, strength[bisect_left(at, a)]))
             apart.extend(_cuts(at, strength, a, b, limit, room))
         return apart
-    n = least = -(-size // room)
-    while n <= 2 * least + 2:
+    n = -(-size // room)
+    while True:  # every line fits, so that targets as dense as the lines end the loop at the latest
         found: list[tuple[int, int]] = []
         for i in range(1, n):
             cut = _snap(at, strength, low + size * i / n, size / n / 2)
             if cut and low < cut[0] < high and (not found or cut[0] > found[-1][0]):
                 found.append(cut)
         edges = [low, *(c for c, _ in found), high]
-        if all(b - a <= room for a, b in zip(edges, edges[1:], strict=False)):
-            return found
+        if all(b - a <= room for a, b in pairwise(edges)):
+            return _needed(found, low, high, room)
         n += max(1, n // 8)
-    # Cut at the strongest boundary of the middle half, else at the one nearest the middle, then treat both sides by themselves.
-    middle = (low + high) / 2
-    cut = _snap(at, strength, middle, size / 4)
-    if not cut:
-        k = min(range(bisect_right(at, low), bisect_left(at, high)), key=lambda i: abs(at[i] - middle))
-        cut = (at[k], strength[k])
-    return [*_cuts(at, strength, low, cut[0], limit, room), cut, *_cuts(at, strength, cut[0], high, limit, room)]
+
+
+def _needed(cuts: list[tuple[int, int]], low: int, high: int, room: int) -> list[tuple[int, int]]:
+    """The cuts without those between two pieces that fit together; the weakest go first, of equal ones those of the shortest pieces."""
+    edges, kept = [low, *(c for c, _ in cuts), high], dict(cuts)
+    before, after = dict(pairwise(edges[::-1])), dict(pairwise(edges))
+    for cut, _ in sorted(cuts, key=lambda c: (c[1], after[c[0]] - before[c[0]], c[0])):
+        left, right = before[cut], after[cut]
+        if right - left <= room:
+            del kept[cut]
+            after[left], before[right] = right, left
+    return sorted(kept.items())
 
 
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
@@ -109,6 +117,7 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
             begin = start - reach  # the line before is cut anyway
         else:
             begin = _overlap(at, strength, start, reach)
+            begin = start - reach if begin == start else begin  # the last line is longer than the overlap
         out.append((start, stop, begin, kind))
     return out
 

@@ -158,6 +158,18 @@ def test_runs_beside_a_wide_line_are_cut_at_hunks():
         assert all(stop - start > 1500 for start, stop, *_ in parts if not where <= start < line_end)
 
 
+def test_uneven_lines_stay_with_the_balanced_method():
+    """Lines of nearly the whole room leave no even cuts near the targets; pieces are added, none is superfluous, and every piece repeats something."""
+    rng = random.Random(8)
+    for _ in range(40):
+        text = "".join(rng.choice(["", "@@ ", "diff --git "]) + "z" * rng.choice([3, 40, 3000, 3600, 3790]) + "\n" for _ in range(rng.randint(3, 60)))
+        parts = chunks.pieces(text)
+        assert all(stop - begin <= 4000 for _, stop, begin, _ in parts) and all(kind != chunks.FORCED for *_, kind in parts)
+        assert all(start - begin > 0 or stop - start > 3800 for start, stop, begin, _ in parts[1:])
+        wide = [m.end() - m.start() for m in re.finditer(r".*\n", text) if m.end() - m.start() > 3800]
+        assert wide or all(c[1] - a[0] > 3800 for a, c in pairwise(parts))
+
+
 def test_cut_kinds(spark):
     long_line, lines = "x" * 4001, ("y" * 99 + "\n") * 45
     rows = [("a", long_line), ("b", lines), ("b", lines), ("c", "z" * 4000), ("d", None), ("e", ""), ("f", "z" * 4000 + "\n"), ("g", "é" * 4001), ("h", lines + "q" * 30_000)]
