@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Endings that count as source, and folders that are never looked into.
 SOURCE_ENDINGS = (".py", ".md", ".rst")
-SKIP_FOLDERS = (".git", "__pycache__", ".venv", "venv", "env", "node_modules", "dist", "build", ".tox", ".mypy_cache", "TEST_HYPERNET")
+SKIP_FOLDERS = (".git", "__pycache__", ".venv", "venv", "env", "node_modules", "dist", "build", ".tox", ".mypy_cache")
 # Marks that a fill-in-the-middle model may leave in its output.
 FIM_TOKENS = ("<|fim_prefix|>", "<|fim_suffix|>", "<|fim_middle|>")
 # Fixed value: the code tokenizer.
@@ -107,6 +107,7 @@ def is_trivial_target(target: Column, least: int = 4) -> Column:
     return target.isNull() | (F.length(t) < least) | ((F.length(t) <= 6) & (t.endswith(")") | t.startswith(",")))
 
 
+# Fixed values in the next function: the labels of rejected pairs.
 def pair_reason(prefix: Column, target: Column, has_function: Column) -> Column:
     """why a pair is rejected, first reason first; empty if it is kept. A null target is empty."""
     t = strip(F.coalesce(target, F.lit("")))
@@ -172,6 +173,7 @@ def _literal_start(t: Column) -> Column:
 NUMBER = r"^[+-]?(?:(?:\d+(?:_\d+)*)?\.?\d+(?:_\d+)*|\d+(?:_\d+)*\.)(?:[eE][+-]?\d+)?$|^(?i)[+-]?(?:inf|infinity|nan)$"
 
 
+# Fixed values in the next two functions: the classes of targets.
 def difficulty(target: Column) -> Column:
     """Eight classes of targets; identifiers and numbers in ASCII."""
     t = F.regexp_replace(strip(target), r"\)+\z", "")
@@ -211,6 +213,7 @@ def type_matches(expected: Column, got: Column) -> Column:
     return (value_type(expected) == value_type(got)) & (value_type(expected) != "other")
 
 
+# Fixed values in the next function: the names of failures.
 def failure_mode(expected: Column, got: Column) -> Column:
     """Why an answer is wrong."""
     return (
@@ -219,6 +222,7 @@ def failure_mode(expected: Column, got: Column) -> Column:
     )
 
 
+# Fixed values in the next two functions: the marks and names of test frameworks and styles.
 def framework(text: Column) -> Column:
     """X19"""
     low = F.lower(text)

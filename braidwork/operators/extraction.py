@@ -97,11 +97,11 @@ def assertions(source: str | None) -> list[tuple[str, str, str, int, int, str]]:
     return found
 
 
-def chunks(path: str, source: str | None, most: int = 12_000) -> list[tuple[str, str]]:
-    """(symbol, text) of each top-level function and class; a file that does not parse is one chunk, a blank one none."""
+def chunks(path: str, source: str | None, most: int | None = None) -> list[tuple[str, str]]:
+    """(symbol, text) of each top-level function and class; a file that does not parse is one chunk, a blank one none. With `most`, longer texts are cut there and marked."""
     if not (source or "").strip():
         return []
-    short = lambda t: t if len(t) <= most else t[:most] + "\n# ... truncated ..."
+    short = lambda t: t if most is None or len(t) <= most else t[:most] + "\n# ... truncated ..."
     head = lambda symbol: f"# File: {path}\n# Symbol: {symbol}\n"
     tree = parse(source)
     if tree is None:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.functions.vectors import cosine
+from braidwork.functions.vectors import cosine, norm
 
 
 def centred(df: DataFrame, row_id: str, vector: str) -> DataFrame:
@@ -41,7 +43,7 @@ def similarity(df: DataFrame, row_id: str, vector: str, some: DataFrame) -> Data
 
 
 def diversity(df: DataFrame, row_id: str, vector: str, some: DataFrame) -> DataFrame:
-    """Mean cosine, off the diagonal, of a stated set against all mean-centred rows."""
+    """V14 of a stated set: its mean cosine, off the diagonal, against all mean-centred rows; `whole_diversity` is that of all rows."""
     return similarity(centred(df, row_id, vector), row_id, vector, some).agg(F.avg("cosine").alias("mean_cosine"), F.count("*").alias("n_pairs"))
 
 
@@ -59,20 +61,71 @@ def whole_diversity(df: DataFrame, row_id: str, vector: str) -> DataFrame:
     return whole.select(F.when(n_pairs > 0, (F.col("s2") - F.col("n")) / n_pairs).alias("mean_cosine"), n_pairs.alias("n_pairs"))
 
 
+def _sums(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, sum, sum of outer products) of all vectors, added up in Arrow batches; at most width squared numbers reach the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lists = batch.column(0)
+            widths = np.asarray(lists.value_lengths().fill_null(0))
+            for width in np.unique(widths[widths > 0]).tolist():
+                x = lists.take(pa.array(np.flatnonzero(widths == width))).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+                x = np.concatenate((np.ones((len(x), 1)), x), axis=1)
+                total[width] = total.get(width, 0) + x.T @ x
+        for width, gram in total.items():
+            i, j = np.indices(gram.shape).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), width)), pa.array(i), pa.array(j), pa.array(gram.ravel())], names=["width", "i", "j", "g"])
+
+    rows = df.where(F.col(vector).isNotNull()).select(vector).mapInArrow(add, "width long, i long, j long, g double").groupBy("width", "i", "j").agg(F.sum("g").alias("g")).toPandas()
+    if rows.empty:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    if rows.width.nunique() > 1:
+        raise ValueError("vectors differ in length")
+    gram = np.zeros((int(rows.width[0]) + 1,) * 2)
+    gram[rows.i, rows.j] = rows.g
+    return int(round(gram[0, 0])), gram[0, 1:], gram[1:, 1:]
+
+
 def principal_axes(df: DataFrame, row_id: str, vector: str, k: int = 2) -> DataFrame:
-    """M6: (row_id, axis, position) on the k widest axes; signs make each axis's largest entry positive.
+    """M6: (row_id, axis, position, outlier) on the k widest axes; signs make each axis's largest entry positive.
 
-    Sums of products are added up in the executors; the driver solves one matrix of the vector's width.
+    outlier is the row's distance from the middle on those axes, over the mean distance. Null vectors
+    are left out. One pass adds up sums of products, the driver solves one matrix of the vector's
+    width, a second pass projects.
     """
-    cells = centred(df, row_id, vector).select(row_id, F.posexplode(vector).alias("i", "x"))
-    rows = centred(df, row_id, vector).select(F.posexplode(vector).alias("i", "x"), F.col(vector).alias("v")).select("i", F.posexplode(F.transform("v", lambda y: y)).alias("j", "y"), "x")
-    gram = rows.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g")).toPandas()
-    width = int(gram.i.max()) + 1 if len(gram) else 0
-    matrix = np.zeros((width, width))
-    matrix[gram.i, gram.j] = gram.g
-    _, axes = np.linalg.eigh(matrix)
+    n, total, gram = _sums(df, vector)
+    mean = total / max(1, n)
+    spread, axes = np.linalg.eigh(gram - n * np.outer(mean, mean)) if n else (mean, np.zeros((0, 0)))
     axes = axes[:, ::-1][:, :k]
-    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])]) if width else axes
-    entries = [(int(i), int(a), float(axes[i, a])) for i in range(width) for a in range(axes.shape[1])]
-    table = df.sparkSession.createDataFrame(entries, "i int, axis int, e double")
-    return cells.join(F.broadcast(table), "i").groupBy(row_id, "axis").agg(F.sum(F.col("x") * F.col("e")).alias("position"))
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])] < 0, -1.0, 1.0) if n else axes
+    kind = dict(df.dtypes)[row_id]
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+            at = (x - mean) @ axes
+            away = np.sqrt((at * at).sum(axis=1))
+            for axis in range(axes.shape[1]):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(batch), axis, np.int32)), pa.array(np.ascontiguousarray(at[:, axis])), pa.array(away)], names=[row_id, "axis", "position", "away"])
+
+    placed = df.where(F.col(vector).isNotNull()).select(row_id, vector).mapInArrow(project, f"{row_id} {kind}, axis int, position double, away double")
+    middle = placed.where("axis = 0").agg(F.avg("away").alias("_mean"))
+    return placed.join(F.broadcast(middle)).select(row_id, "axis", "position", (F.col("away") / F.col("_mean")).alias("outlier"))  # one row beside each
+
+
+def distances(df: DataFrame, row_id: str, vector: str, some: DataFrame) -> DataFrame:
+    """(a, b, distance): Euclidean distances of a stated set of rows to all rows."""
+    pairs = similarity(df, row_id, vector, some)
+    lengths = df.select(row_id, norm(F.col(vector)).alias("_l"))
+    a, b = (lengths.select(F.col(row_id).alias(x), F.col("_l").alias(f"_{x}")) for x in "ab")
+    squared = F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b") - 2 * F.col("_a") * F.col("_b") * F.col("cosine")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", F.sqrt(F.greatest(squared, F.lit(0.0))).alias("distance"))
+
+
+def column_scaled(df: DataFrame, row_id: str, vector: str) -> DataFrame:
+    """(row_id, vector) with every number scaled to [0, 1] by the least and greatest at its position; a constant position gives 0."""
+    cells = df.select(F.posexplode(vector).alias("pos", "x")).groupBy("pos").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ends = cells.agg(F.array_sort(F.collect_list(F.struct("pos", "lo", "hi"))).alias("_e"))  # one row of the vector's width
+    scaled = F.zip_with(F.col(vector), F.col("_e"), lambda x, e: F.when(e.hi > e.lo, (x.cast("double") - e.lo) / (e.hi - e.lo)).otherwise(F.lit(0.0)))
+    return df.join(F.broadcast(ends)).select(row_id, scaled.alias(vector))

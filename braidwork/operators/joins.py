@@ -100,22 +100,20 @@ def positional(groups: DataFrame, arrays: Sequence[str], keys: Sequence[str]) ->
     return zipped.select(*keys, "position", *(F.col(f"z.{a}").alias(a) for a in arrays))
 
 
-def chain_hits(links: DataFrame, node: str, parent: str, targets: DataFrame, rounds: int = 6) -> DataFrame:
-    """nodes that reach a target over any chain of links, cycles included.
+def chain_hits(links: DataFrame, node: str, parent: str, targets: DataFrame) -> DataFrame:
+    """nodes that reach a target over a chain of links of any length, cycles included.
 
-    Pointers double their reach every round, so `rounds` covers chains of 2^rounds links.
+    Only nodes found in the last round look for the nodes that point at them, so rounds are as many
+    as the longest chain has links and their work adds up to one pass over the links.
     """
     from braidwork.session import cut_lineage
 
-    goal = targets.select(F.col(targets.columns[0]).alias("_p")).distinct().withColumn("_t", F.lit(True))
-    steps = links.where(F.col(node).isNotNull() & F.col(parent).isNotNull()).select(F.col(node).alias("_n"), F.col(parent).alias("_p")).distinct()
-    steps = cut_lineage(steps.join(goal, "_p", "left").select("_n", "_p", F.coalesce("_t", F.lit(False)).alias("_hit")))
-    for _ in range(rounds):
-        on = steps.select(F.col("_n").alias("_p"), F.col("_p").alias("_q"), F.col("_hit").alias("_more"))
-        far = steps.join(on, "_p").select("_n", F.col("_q").alias("_p"), (F.col("_hit") | F.col("_more")).alias("_hit"))
-        fresh = cut_lineage(steps.unionByName(far).groupBy("_n", "_p").agg(F.max("_hit").alias("_hit")))
-        if fresh.count() == steps.count():
-            steps = fresh
-            break
-        steps = fresh
-    return steps.where("_hit").select(F.col("_n").alias(node)).distinct()
+    steps = cut_lineage(links.where(F.col(node).isNotNull() & F.col(parent).isNotNull()).select(F.col(node).alias("_n"), F.col(parent).alias("_p")).distinct())
+    goal = targets.select(F.col(targets.columns[0]).alias("_p")).where("_p is not null").distinct()
+    found = cut_lineage(steps.join(goal, "_p", "left_semi").select("_n").distinct())
+    fresh = found
+    while not fresh.isEmpty():
+        behind = steps.join(fresh.select(F.col("_n").alias("_p")), "_p", "left_semi").select("_n").distinct()
+        fresh = cut_lineage(behind.join(found, "_n", "left_anti"))
+        found = found.unionByName(fresh)
+    return found.select(F.col("_n").alias(node))

@@ -37,7 +37,8 @@ def dense_top_k(base: DataFrame, queries: DataFrame, base_id: str, query_id: str
     """Exact cosine top-k of a stated query set against all rows, (query_id, base_id, cosine, rank).
 
     The query set is spread over the base in blocks of matrix products; each block of base rows keeps
-    k per query, so k rows per block and query are shuffled. Queries are broadcast, and their number
+    k + 1 per query and all that tie with the last, so about k rows per block and query are shuffled.
+    Base rows of another width than the queries, whose width is that of one of them, have no cosine. Queries are broadcast, and their number
     is checked first: beyond a million numbers they are searched in several passes.
     """
     from braidwork.functions.vectors import is_finite
@@ -63,9 +64,10 @@ def dense_top_k(base: DataFrame, queries: DataFrame, base_id: str, query_id: str
                     continue
                 x = np.array(frame.v.tolist(), dtype=np.float64)
                 score = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                order = np.argsort(-score, axis=1, kind="stable")[:, : k + 8]
-                kept = np.take_along_axis(score, order, 1)
-                yield pd.DataFrame({"q": np.repeat(names, order.shape[1]), "b": frame.b.to_numpy()[order.ravel()], "cosine": kept.ravel()})
+                score = np.round(score, 9)
+                kth = np.partition(score, -min(k + 1, score.shape[1]), axis=1)[:, -min(k + 1, score.shape[1])]
+                i, j = np.nonzero(score >= kth[:, None])  # ties with the last place kept, itself among the first
+                yield pd.DataFrame({"q": names[i], "b": frame.b.to_numpy()[j], "cosine": score[i, j]})
 
         part = base.where(is_finite(F.col(vector))).select(F.col(base_id).alias("b"), F.col(vector).alias("v")).mapInPandas(search, f"q {types[1]}, b {types[0]}, cosine double")
         found = part if found is None else found.unionByName(part)
@@ -88,19 +90,25 @@ def fused(rankings: list[DataFrame], query_id: str, doc_id: str, k: int) -> Data
 def packed_context(blocks: DataFrame, group: str, budget: int) -> DataFrame:
     """Per group the blocks in order of score, each in full if it fits what is left, else short, else skipped.
 
-    Blocks are (group, block_id, score, full_size, short_size); the choice depends on the blocks before,
-    so it is a fold over the group's sorted sizes, done on sizes only.
+    Blocks are (group, block_id, score, full_size, short_size); rows are (group, position, block_id,
+    form). The choice depends on the blocks before, so rows are sorted by the shuffle and stream
+    through, sizes only; just the room left and the position are held.
     """
-    entry = F.struct((-F.col("score")).alias("s"), F.col("block_id").alias("id"), F.col("full_size").cast("long").alias("f"), F.col("short_size").cast("long").alias("c"))
-    lists = blocks.groupBy(group).agg(F.array_sort(F.collect_list(entry)).alias("l"))
-
-    def step(state, b):
-        form = F.when(b.f <= state.left, "full").when(b.c <= state.left, "short")
-        taken = F.when(b.f <= state.left, b.f).when(b.c <= state.left, b.c).otherwise(F.lit(0).cast("long"))
-        more = F.when(form.isNull(), state.out).otherwise(F.concat(state.out, F.array(F.struct(b.id.alias("block_id"), form.alias("form")))))
-        return F.struct((state.left - taken).alias("left"), more.alias("out"))
-
-    kind = dict(blocks.dtypes)["block_id"]
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast(f"array<struct<block_id:{kind},form:string>>").alias("out"))
-    folded = lists.select(group, F.aggregate("l", start, step).alias("r"))
-    return folded.select(group, F.posexplode("r.out").alias("position", "o")).select(group, "position", "o.block_id", "o.form")
+    kinds = dict(blocks.dtypes)
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, left, position = object(), 0, 0
+        for frame in frames:
+            out = []
+            for g, block, full, short in frame.itertuples(index=False):
+                if g != now:
+                    now, left, position = g, budget, 0
+                size, form = (full, "full") if full <= left else (short, "short")
+                if size <= left:
+                    out.append((g, position, block, form))
+                    left, position = left - size, position + 1
+            yield pd.DataFrame(out, columns=[group, "position", "block_id", "form"])
+
+    rows = blocks.where(F.col(group).isNotNull()).select(group, "block_id", "full_size", "short_size", (-F.col("score")).alias("_s"))
+    ordered = rows.repartition(group).sortWithinPartitions(group, "_s", "block_id").select(group, "block_id", "full_size", "short_size")
+    return ordered.mapInPandas(choose, f"{group} {kinds[group]}, position int, block_id {kinds['block_id']}, form string")

@@ -83,59 +83,73 @@ def log_fit(x: str, y: str) -> list[Column]:
     return [F.regr_slope(F.col(y), lx).alias("a"), F.regr_intercept(F.col(y), lx).alias("b"), F.regr_r2(F.col(y), lx).alias("r2")]
 
 
-def bootstrap_interval(df: DataFrame, group: str, value: str, resamples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile bootstrap of the mean, (group, mean, low, high, n, flag).
+def _resampled(rows: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(g, resample, s, w, n) of rows (g, h, s, w, k): k equal clusters each, with sum s and weight w; resample -1 holds the plain totals.
 
-    Built on counts of distinct values, so that a group of any size is a few rows: a resample draws
-    how often each value comes from a multinomial distribution, which is the same experiment as
-    drawing rows with replacement. n = 0 gives zeros and the flag 'empty'; no resamples give the mean.
-    """
-    counts = df.groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k"))
-
-    def draw(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[frame.v.notna()]
-        n = int(frame.k.sum())
-        if not n:
-            return pd.DataFrame([(key[0], 0.0, 0.0, 0.0, 0, "empty")], columns=["g", "mean", "low", "high", "n", "flag"])
-        frame = frame.sort_values("v")
-        v, k = frame.v.to_numpy(), frame.k.to_numpy()
-        mean = float((v * k).sum() / n)
-        if not resamples:
-            return pd.DataFrame([(key[0], mean, mean, mean, n, "")], columns=["g", "mean", "low", "high", "n", "flag"])
-        means = np.random.default_rng(seed).multinomial(n, k / n, size=resamples) @ v / n
-        tail = (1 - level) / 2 * 100
-        low, high = np.percentile(means, [tail, 100 - tail])
-        return pd.DataFrame([(key[0], mean, float(low), float(high), n, "")], columns=["g", "mean", "low", "high", "n", "flag"])
-
-    kind = dict(df.dtypes)[group]
-    return counts.groupBy(group).applyInPandas(draw, f"g {kind}, mean double, low double, high double, n long, flag string").withColumnRenamed("g", group)
-
-
-def cluster_bootstrap(df: DataFrame, method: str, cluster: str, value: str, weight: str, resamples: int = 1000, seed: int = 0, slices: int = 16) -> DataFrame:
-    """Interval of a weighted mean with whole clusters drawn, (method, mean, low, high, n_clusters).
-
-    Poisson weights drawn from a hash of (cluster, resample) let every task add up its own clusters;
-    only resamples x (sum, weight) are shuffled, whatever the number of clusters.
+    In a resample a cluster is drawn a Poisson number of times, which k of them together are drawn
+    Poisson(k) times; the numbers come from the hash h, so a task adds up its own rows and only
+    resamples x (sum, weight) are shuffled, whatever the number of rows in a group.
     """
-    sums = df.groupBy(method, cluster).agg(F.sum(F.col(weight) * F.col(value)).alias("s"), F.sum(weight).cast("double").alias("w"))
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
         for frame in frames:
-            for m, part in frame.groupby("m", sort=False):
-                s, w, n = total.get(m, (np.zeros(resamples), np.zeros(resamples), np.zeros(3)))
-                for h, a, b in zip(part.h, part.s, part.w, strict=True):
-                    times = np.random.default_rng([seed, int(h)]).poisson(1.0, resamples)
+            for g, part in frame.groupby("g", sort=False):
+                s, w, n = total.get(g, (np.zeros(resamples), np.zeros(resamples), np.zeros(3)))
+                for h, a, b, k in zip(part.h, part.s, part.w, part.k, strict=True):
+                    times = np.random.default_rng([seed, int(h) & ((1 << 63) - 1)]).poisson(float(k), resamples)
                     s, w = s + times * a, w + times * b
-                total[m] = (s, w, n + np.array([part.s.sum(), part.w.sum(), len(part)]))
-        for m, (s, w, n) in total.items():
-            yield pd.DataFrame({"m": m, "resample": np.arange(-1, resamples), "s": np.concatenate(([n[0]], s)), "w": np.concatenate(([n[1]], w)), "n": int(n[2])})
+                total[g] = (s, w, n + np.array([(part.s * part.k).sum(), (part.w * part.k).sum(), part.k.sum()]))
+        for g, (s, w, n) in total.items():
+            yield pd.DataFrame({"g": g, "resample": np.arange(-1, resamples), "s": np.concatenate(([n[0]], s)), "w": np.concatenate(([n[1]], w)), "n": int(n[2])})
+
+    kind = dict(rows.dtypes)["g"]
+    parts = rows.select("g", "h", "s", "w", "k").mapInPandas(partial, f"g {kind}, resample int, s double, w double, n long")
+    return parts.groupBy("g", "resample").agg(F.sum("s").alias("s"), F.sum("w").alias("w"), F.sum("n").alias("n"))
+
 
-    rows = sums.select(F.col(method).cast("string").alias("m"), F.abs(F.hash(cluster)).cast("long").alias("h"), F.col("s").cast("double").alias("s"), "w").where("m is not null")
-    parts = rows.repartition(slices, "m", "h").mapInPandas(partial, "m string, resample int, s double, w double, n long")
-    means = parts.groupBy("m", "resample").agg(F.sum("s").alias("s"), F.sum("w").alias("w"), F.sum("n").alias("n"))
+def bootstrap_interval(df: DataFrame, group: str, value: str, resamples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Percentile bootstrap of the mean, (group, mean, low, high, n, flag); null groups are left out.
+
+    Equal values are counted first, so a metric of few values is a few rows; one of many values is
+    added up where its rows are. n = 0 gives zeros and the flag 'empty'; no resamples give the mean.
+    """
+    v = F.col(value).cast("double")
+    good = df.where(F.col(group).isNotNull())
+    counts = good.where(v.isNotNull() & ~F.isnan(v)).groupBy(F.col(group).alias("g"), v.alias("s")).agg(F.count("*").alias("k"))
+    rows = counts.withColumn("w", F.lit(1.0)).withColumn("h", F.xxhash64("g", "s"))
+    mean = F.when(F.col("w") > 0, F.col("s") / F.col("w"))
+    drawn = F.when(F.col("resample") >= 0, mean)
+    tail = (1 - level) / 2
+    plain = F.max(F.when(F.col("resample") == -1, mean))
+    found = _resampled(rows, resamples, seed).groupBy("g").agg(plain.alias("mean"), F.coalesce(F.percentile(drawn, tail), plain).alias("low"), F.coalesce(F.percentile(drawn, 1 - tail), plain).alias("high"), F.max(F.when(F.col("resample") == -1, F.col("n"))).alias("n"))
+    every = good.select(F.col(group).alias("g")).distinct().join(found, "g", "left")
+    return every.select(F.col("g").alias(group), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "low", "high")), F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "empty").otherwise("").alias("flag"))
+
+
+def bootstrap_intervals(df: DataFrame, group: str, values: Sequence[str], resamples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Intervals of several metrics, (group, metric, mean, low, high, n, flag); the i-th metric draws with seed + i."""
+    parts = [bootstrap_interval(df, group, v, resamples, level, seed + i).select(group, F.lit(v).alias("metric"), "mean", "low", "high", "n", "flag") for i, v in enumerate(values)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def merged_intervals(shards: Sequence[DataFrame], group: str, values: Sequence[str], resamples: int = 1000, seed: int = 0) -> DataFrame:
+    """Raw samples of several shards put together, and their intervals computed anew."""
+    rows = shards[0].select(group, *values)
+    for shard in shards[1:]:
+        rows = rows.unionByName(shard.select(group, *values))
+    return bootstrap_intervals(rows, group, values, resamples, seed=seed)
+
+
+def cluster_bootstrap(df: DataFrame, method: str, cluster: str, value: str, weight: str, resamples: int = 1000, seed: int = 0) -> DataFrame:
+    """Interval of a weighted mean with whole clusters drawn, (method, mean, low, high, n_clusters)."""
+    sums = df.groupBy(F.col(method).alias("g"), F.col(cluster).alias("_c")).agg(F.sum(F.col(weight) * F.col(value)).cast("double").alias("s"), F.sum(weight).cast("double").alias("w"))
+    rows = sums.where("g is not null").withColumn("h", F.xxhash64("_c")).withColumn("k", F.lit(1))
     mean = F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(0.0)
-    return means.groupBy(F.col("m").alias(method)).agg(
+    return _resampled(rows, resamples, seed).groupBy(F.col("g").alias(method)).agg(
         F.max(F.when(F.col("resample") == -1, mean)).alias("mean"),
         F.percentile(F.when(F.col("resample") >= 0, mean), 0.025).alias("low"),
         F.percentile(F.when(F.col("resample") >= 0, mean), 0.975).alias("high"),
@@ -143,8 +157,38 @@ def cluster_bootstrap(df: DataFrame, method: str, cluster: str, value: str, weig
     )
 
 
+def power_fit(x: str, y: str) -> list[Column]:
+    """100 - y = c x^alpha over x > 0 and y < 100, with R squared of the logarithms."""
+    fits = (F.col(x) > 0) & (F.col(y) < 100)
+    lx, ly = F.when(fits, F.log(F.col(x).cast("double"))), F.when(fits, F.log(100.0 - F.col(y)))
+    return [F.exp(F.regr_intercept(ly, lx)).alias("c"), F.regr_slope(ly, lx).alias("alpha"), F.regr_r2(ly, lx).alias("r2")]
+
+
+def extrapolated(count: str, total: str, seen: str) -> Column:
+    """What a counter over `seen` rows of `total` comes to over all of them; 0 if none was seen."""
+    return F.when(F.col(seen) > 0, F.round(F.col(count) * F.col(total) / F.col(seen))).otherwise(0).cast("long")
+
+
+def column_report(df: DataFrame, numbers: Sequence[str], labels: Sequence[str], most: int = 10) -> DataFrame:
+    """A5: (column, stat, value): distribution of each number, and the most frequent values of each label with their counts."""
+    parts = []
+    for name in numbers:
+        wide = df.agg(*distribution(F.col(name), (25, 75)))
+        parts.append(wide.select(F.lit(name).alias("column"), F.explode(F.map_from_arrays(F.array(*map(F.lit, wide.columns)), F.array(*(F.col(c).cast("double") for c in wide.columns)))).alias("stat", "value")))
+    for name in labels:
+        top = value_counts(df.where(F.col(name).isNotNull()), name).limit(most)
+        parts.append(top.select(F.lit(name).alias("column"), F.col(name).cast("string").alias("stat"), F.col("n").cast("double").alias("value")))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def cap_grid(df: DataFrame, commit: Sequence[str], file: str, caps: Sequence[int]) -> DataFrame:
-    """A10: how many rows are left under each cap per commit, per file, and per file then per commit (twice the cap)."""
+    """A10: how many rows are left under each cap per commit, per file, and per file then per commit (twice the cap).
+
+    How many are left does not depend on which rows a cap keeps, so the first is also that of a random choice.
+    """
     spark = df.sparkSession
     grid = F.broadcast(spark.createDataFrame([(k,) for k in caps], "cap int"))  # as many rows as caps were asked for
     per_file = df.groupBy(*commit, file).agg(F.count("*").alias("n"))

@@ -101,10 +101,6 @@ def _windows_of(documents):
 
 
 def _windows(s, d):
-    return _windows_of(table(s, d, "documents").where("length(text) < 2000"))
-
-
-def _windows_whole(s, d):
     return _windows_of(table(s, d, "documents"))
 
 
@@ -200,27 +196,35 @@ PAIRS = {
     ),
     "v_token_windows": (
         _windows,
-        """with t as (select doc_id, length(text) as n from documents where length(text) > 0 and length(text) < 2000), w as (select doc_id, n, unnest(range(0, greatest(0, ceil((n - 100) / 80.0)::int) + 1)) as i from t)
+        """with t as (select doc_id, length(text) as n from documents where length(text) > 0), w as (select doc_id, n, unnest(range(0, greatest(0, ceil((n - 100) / 80.0)::int) + 1)) as i from t)
         select doc_id, cast(i as int) as i, cast(i * 80 + 1 as int) as first, cast(least(i * 80 + 100, n) as int) as last from w where least(100, n - i * 80) >= 16""",
     ),
-    "v_token_windows_whole": (_windows_whole, None),
     "v_block_similarity": (
         lambda s, d: geometry.similarity(table(s, d, "embeddings"), "vec_id", "embedding", table(s, d, "embeddings").where("vec_id % 20 = 0")).groupBy("a").agg(F.round(F.avg("cosine"), 6).alias("mean_cosine")),
         """with q as (select vec_id as a, embedding::double[] as v from embeddings where vec_id % 20 = 0), e as (select vec_id as b, embedding::double[] as w from embeddings)
         select a, round(avg(list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w))), 6) as mean_cosine from q, e where a <> b group by a""",
     ),
     "v_diversity": (
-        lambda s, d: geometry.diversity(table(s, d, "embeddings"), "vec_id", "embedding", table(s, d, "embeddings").where("vec_id % 20 = 0")).select(F.round("mean_cosine", 6).alias("mean_cosine"), "n_pairs"),
+        lambda s, d: geometry.whole_diversity(table(s, d, "embeddings"), "vec_id", "embedding").select(F.round("mean_cosine", 6).alias("mean_cosine"), "n_pairs"),
         """with m as (select i, avg(embedding[i]::double) as m from embeddings, range(1, 65) r(i) group by i), l as (select list(m order by i) as m from m),
-        e as (select vec_id, list_transform(range(1, 65), lambda i: embedding[i]::double - l.m[i]) as v from embeddings, l)
-        select round(avg(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))), 6) as mean_cosine, count(*) as n_pairs from e a, e b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id""",
+        e as (select vec_id, list_transform(range(1, 65), lambda i: embedding[i]::double - l.m[i]) as v from embeddings, l), n as (select count(*) as n from e),
+        x as (select i, sum(v[i] / sqrt(list_dot_product(v, v))) as s from e, range(1, 65) r(i) group by i)
+        select round((sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 6) as mean_cosine, cast(max(n) * (max(n) - 1) as bigint) as n_pairs from x, n""",
+    ),
+    "m_principal_axes": (
+        lambda s, d: geometry.principal_axes(table(s, d, "embeddings"), "vec_id", "embedding", 64).groupBy().agg(F.count("*").alias("n"), F.round(F.sum(F.col("position") * F.col("position")) / F.count_distinct("vec_id"), 3).alias("variance")),
+        "with v as (select i, var_pop(embedding[i]::double) as v from embeddings, range(1, 65) r(i) group by i) select (select count(*) * 64 from embeddings) as n, round(sum(v), 3) as variance from v",
     ),
-    "v_diversity_whole": (lambda s, d: geometry.whole_diversity(table(s, d, "embeddings"), "vec_id", "embedding").select(F.round("mean_cosine", 6).alias("mean_cosine"), "n_pairs"), None),
-    "m_principal_axes": (lambda s, d: geometry.principal_axes(table(s, d, "embeddings"), "vec_id", "embedding").groupBy("axis").agg(F.count("*").alias("n"), F.round(F.var_pop("position"), 4).alias("variance")), None),
     "r_bm25": (_bm25, SQL_BM25),
     "r_dense_top_k": (_dense, SQL_DENSE),
     "r_fused": (_fused, SQL_FUSED),
-    "r_packed_context": (_packed, None),
+    "r_packed_context": (
+        _packed,
+        """with recursive o as (select repo_id, doc_id, length(text) as f, length(text) // 4 as c, row_number() over (partition by repo_id order by doc_id % 7 desc, doc_id) as rn from documents where text is not null and repo_id is not null),
+        r as (select repo_id, rn, doc_id, case when f <= 2000 then 'full' when c <= 2000 then 'short' end as form, 2000 - case when f <= 2000 then f when c <= 2000 then c else 0 end as room from o where rn = 1
+            union all select o.repo_id, o.rn, o.doc_id, case when f <= room then 'full' when c <= room then 'short' end, room - case when f <= room then f when c <= room then c else 0 end from r join o on o.repo_id = r.repo_id and o.rn = r.rn + 1)
+        select repo_id, cast(row_number() over (partition by repo_id order by rn) - 1 as int) as position, doc_id as block_id, form from r where form is not null""",
+    ),
     "r_chunks": (lambda s, d: extraction.source_chunks(table(s, d, "file_changes").where("path like '%.py'").select("path", F.col("new_blob").alias("blob_sha")).distinct().join(table(s, d, "blobs"), "blob_sha").select("blob_sha", "path", "text"), ["blob_sha", "path"], "path").groupBy("path").agg(F.count("*").alias("n")), None),
     "e_assertions": (_extracted, None),
     "e_imports": (lambda s, d: extraction.exploded(table(s, d, "blobs"), ["blob_sha"], "text", extraction.imports, "module string, name string, level int").groupBy("module").agg(F.count("*").alias("n")), None),

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from braidwork.functions import text, vectors
-from braidwork.operators import joins, windows
+from braidwork.operators import joins, ordering, windows
 from braidwork.plans.base import SQL_C, SQL_Q, SQL_S, SQL_T, commits, qna, scores, texts
 from braidwork.session import table
 
 SQL_SNAP = "n as (select distinct commit_sha, in_repo_split, cross_repo_split from snapshots where commit_sha is not null)"
 SQL_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SQL_ENDING = r"lower(regexp_extract(regexp_extract(path, '[^/]*$'), '[^.](\.[^.]+)$', 1))"
-SQL_SKIPPED = "len(list_intersect(string_split(path, '/'), ['.git', '__pycache__', '.venv', 'venv', 'env', 'node_modules', 'dist', 'build', '.tox', '.mypy_cache', 'TEST_HYPERNET'])) > 0"
+SQL_SKIPPED = "len(list_intersect(string_split(path, '/'), ['.git', '__pycache__', '.venv', 'venv', 'env', 'node_modules', 'dist', 'build', '.tox', '.mypy_cache'])) > 0"
 
 
 def _cumulative(s, d):
@@ -57,8 +57,7 @@ def _priority(s, d):
 def _ordered_files(s, d):
     files = table(s, d, "file_changes").where("path is not null and new_blob is not null").select("repo_id", "seq", "path", "new_blob").distinct()
     known = table(s, d, "blobs").select(F.col("blob_sha").alias("new_blob"), F.length("text").alias("size"))
-    rows = files.join(known, "new_blob").groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("seq", "path", "size"))).alias("l"))
-    return rows.select("repo_id", F.size("l").alias("n"), F.md5(F.array_join(F.col("l.path"), ",")).alias("paths_md5"), F.aggregate("l.size", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_chars"))
+    return ordering.positions(files.join(known, "new_blob"), ["repo_id"], ["seq", "path", "new_blob"]).select("repo_id", "position", "path", "size")
 
 
 def _anchor_range(s, d):
@@ -79,8 +78,8 @@ PAIRS = {
         "select repo_id, in_repo_split, count(*) as n from snapshots where in_repo_split in ('val', 'test') and repo_id like '%/%' group by all",
     ),
     "s_commit_sequences": (
-        lambda s, d: commits(s, d).groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("commit_index", "commit_sha"))).alias("l")).select("repo_id", F.size("l").alias("n"), F.md5(F.array_join("l.commit_sha", ",")).alias("shas_md5")),
-        f"with {SQL_C} select repo_id, cast(count(*) as int) as n, md5(string_agg(commit_sha, ',' order by commit_index, commit_sha)) as shas_md5 from c group by repo_id",
+        lambda s, d: ordering.positions(commits(s, d).select("repo_id", "commit_index", "commit_sha"), ["repo_id"], ["commit_index", "commit_sha"]).select("repo_id", "position", "commit_sha"),
+        f"with {SQL_C} select repo_id, row_number() over (partition by repo_id order by commit_index, commit_sha) - 1 as position, commit_sha from c",
     ),
     "s_questions_of_commits": (
         lambda s, d: joins.known_keys(qna(s, d), commits(s, d).where("commit_index < 3"), ["repo_id", "commit_sha"]).select("qna_id"),
@@ -140,8 +139,8 @@ PAIRS = {
         f"with {SQL_C} select commit_sha from c where commit_sha not in (select commit_sha from snapshots where commit_sha is not null)",
     ),
     "j_train_repos_only": (
-        lambda s, d: joins.missing_keys(commits(s, d).where("cross_repo_split = 'train'").select("repo_id").distinct(), commits(s, d).where("in_repo_split = 'test'"), ["repo_id"]),
-        f"with {SQL_C} select distinct repo_id from c where cross_repo_split = 'train' and repo_id not in (select repo_id from c where in_repo_split = 'test')",
+        lambda s, d: joins.missing_keys(commits(s, d).where("cross_repo_split = 'train'").select("repo_id").distinct(), table(s, d, "repo_links").where("link_kind = 'fork_of'"), ["repo_id"]),
+        f"with {SQL_C} select distinct repo_id from c where cross_repo_split = 'train' and repo_id not in (select repo_id from repo_links where link_kind = 'fork_of' and repo_id is not null)",
     ),
     "j_cumulative": (_cumulative, f"with {SQL_C}, {SQL_Q} select c.commit_sha, count(q.qna_id) as n_seen from c left join q on q.repo_id = c.repo_id and q.commit_index <= c.commit_index group by c.commit_sha"),
     "j_at_commit": (
@@ -196,7 +195,7 @@ PAIRS = {
     "j_ordered_files": (
         _ordered_files,
         """with f as (select distinct repo_id, seq, path, new_blob from file_changes where path is not null and new_blob is not null)
-        select repo_id, cast(count(*) as int) as n, md5(string_agg(path, ',' order by seq, path)) as paths_md5, cast(sum(length(text)) as bigint) as n_chars from f join blobs on blob_sha = new_blob group by repo_id""",
+        select repo_id, row_number() over (partition by repo_id order by seq, path, new_blob) - 1 as position, path, cast(length(text) as int) as size from f join blobs on blob_sha = new_blob""",
     ),
     "u_union_keys": (lambda s, d: commits(s, d).select("commit_sha").union(table(s, d, "snapshots").select("commit_sha")).distinct(), "select commit_sha from commits union select commit_sha from snapshots"),
     "u_union_all": (

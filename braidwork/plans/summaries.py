@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from braidwork.functions import text
-from braidwork.operators import stats
+from braidwork.operators import ordering, stats
 from braidwork.plans.base import SQL_C, SQL_Q, SQL_S, SQL_T, commits, qna, scores, texts
 from braidwork.session import table
 
@@ -42,11 +42,10 @@ def _partial_then_final(s, d):
 
 def _answers(s, d):
     """A stand-in prediction: the target of the question before it of the same type."""
-    from pyspark.sql import Window
-
     t = texts(s, d).where("target is not null")
-    got = F.lag("target").over(Window.partitionBy("assertion_type").orderBy("qna_id"))
-    return t.withColumn("got", got).where("got is not null")
+    before = ordering.neighbours(table(s, d, "qna_pairs").where("target is not null").select("assertion_type", "qna_id").distinct(), ["assertion_type"], ["qna_id"], "qna_id")
+    got = t.select(F.col("qna_id").alias("previous"), F.col("target").alias("got"))
+    return t.join(before, "qna_id").join(got, "previous").drop("previous")
 
 
 SQL_ANSWERS = f"{SQL_T}, w as (select *, lag(target) over (partition by assertion_type order by qna_id) as got from t where target is not null), a as (select * from w where got is not null)"

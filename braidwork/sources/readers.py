@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,15 @@ from braidwork import schema
 LAYOUTS = ("concat", "shards", "hf")
 
 
-def resolve_layout(root: str, order: Sequence[str] = LAYOUTS) -> tuple[str, list[str], list[str]]:
+def _paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Files that match a pattern, sorted, on whatever file system it names."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
+def resolve_layout(spark: SparkSession, root: str, order: Sequence[str] = LAYOUTS) -> tuple[str, list[str], list[str]]:
     """(layout, commit paths, question paths) of the first layout that is complete under root.
 
     concat: commits.parquet and qna_pairs.parquet; shards: shards/<repo>.commits.parquet with
@@ -23,12 +30,12 @@ def resolve_layout(root: str, order: Sequence[str] = LAYOUTS) -> tuple[str, list
     """
     for layout in order:
         if layout == "concat":
-            commits, qna = ([p] if os.path.exists(p := f"{root}/{n}.parquet") else [] for n in ("commits", "qna_pairs"))
+            commits, qna = (_paths(spark, f"{root}/{n}.parquet") for n in ("commits", "qna_pairs"))
         elif layout == "shards":
-            stems = {os.path.basename(p)[: -len(".commits.parquet")] for p in glob.glob(f"{root}/shards/*.commits.parquet")} & {os.path.basename(p)[: -len(".qna.parquet")] for p in glob.glob(f"{root}/shards/*.qna.parquet")}
-            commits, qna = ([f"{root}/shards/{s}.{kind}.parquet" for s in sorted(stems)] for kind in ("commits", "qna"))
+            by_stem = [{p.rsplit("/", 1)[1].removesuffix(f".{kind}.parquet"): p for p in _paths(spark, f"{root}/shards/*.{kind}.parquet")} for kind in ("commits", "qna")]
+            commits, qna = ([side[s] for s in sorted(by_stem[0].keys() & by_stem[1].keys())] for side in by_stem)
         elif layout == "hf":
-            commits, qna = (sorted(glob.glob(f"{root}/{n}/*.parquet")) for n in ("commits", "qna"))
+            commits, qna = (_paths(spark, f"{root}/{n}/*.parquet") for n in ("commits", "qna"))
         else:
             raise ValueError(f"unknown layout {layout}")
         if commits and qna:
@@ -38,7 +45,7 @@ def resolve_layout(root: str, order: Sequence[str] = LAYOUTS) -> tuple[str, list
 
 def load_tables(spark: SparkSession, root: str, order: Sequence[str] = LAYOUTS) -> tuple[DataFrame, DataFrame]:
     """Both tables, files with fewer columns included."""
-    _, commits, qna = resolve_layout(root, order)
+    _, commits, qna = resolve_layout(spark, root, order)
     read = lambda paths: spark.read.option("mergeSchema", True).parquet(*paths)
     return read(commits), schema.with_defaults(read(qna), {"assertion_event_id": "", "task": "assert_rhs"})
 
@@ -108,7 +115,11 @@ def read_half_vectors(spark: SparkSession, paths: Sequence[str], columns: Sequen
         for batch in batches:
             for path, group in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 for part in pq.ParquetFile(path).read_row_group(group, columns=[*columns, vector]).to_batches():
-                    wide = pa.array([None if v is None else [float(x) for x in v] for v in part.column(vector).to_pylist()], pa.list_(pa.float32()))
+                    half = part.column(vector)
+                    lengths = np.asarray(half.value_lengths().fill_null(0)) if not pa.types.is_fixed_size_list(half.type) else np.where(np.asarray(half.is_valid()), half.type.list_size, 0)
+                    numbers = half.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+                    offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), mask=np.append(~np.asarray(half.is_valid()), False))
+                    wide = pa.ListArray.from_arrays(offsets, pa.array(numbers))
                     texts = [part.column(c).cast(pa.string()) if pa.types.is_large_string(part.column(c).type) else part.column(c) for c in columns]
                     yield pa.RecordBatch.from_arrays([*texts, wide], names=[*columns, vector])
 

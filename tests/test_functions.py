@@ -98,7 +98,7 @@ def test_windows_of_long_documents(spark, tmp_path):
                 want.add((n, i, start + 1, min(start + 100, n)))
             if start + 100 >= n:
                 break
-    got = [tuple(r) for r in catalog.QUERIES["v_token_windows_whole"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in catalog.QUERIES["v_token_windows"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
 
 

@@ -23,13 +23,13 @@ def test_layouts_in_either_order(spark, tmp_path):
     for name in ("commits/part", "qna/part", "shards/r.commits", "shards/r.qna", "shards/lone.commits"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         pq.write_table(pa.Table.from_pylist([{"repo_id": "r", "commit_index": 1}]), f"{tmp_path}/{name}.parquet")
-    assert readers.resolve_layout(str(tmp_path))[0] == "shards"
-    assert readers.resolve_layout(str(tmp_path), ("concat", "hf", "shards"))[0] == "hf"
-    assert len(readers.resolve_layout(str(tmp_path))[1]) == 1
+    assert readers.resolve_layout(spark, str(tmp_path))[0] == "shards"
+    assert readers.resolve_layout(spark, str(tmp_path), ("concat", "hf", "shards"))[0] == "hf"
+    assert len(readers.resolve_layout(spark, str(tmp_path))[1]) == 1
     commits, qna = readers.load_tables(spark, str(tmp_path))
     assert commits.count() == one.count() and qna.first().task == "assert_rhs"
     with pytest.raises(FileNotFoundError):
-        readers.resolve_layout(str(tmp_path / "qna"))
+        readers.resolve_layout(spark, str(tmp_path / "qna"))
 
 
 def test_filters_reach_the_scan(spark):
