@@ -9,10 +9,11 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from braidwork.functions.text import CODE_TOKEN
+from braidwork.functions.text import CODE_TOKEN, exact_match
 
 _TOKEN = re.compile(CODE_TOKEN)
 
@@ -54,6 +55,11 @@ def code_bleu(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([code_score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def metrics(pred: Column, ref: Column) -> Column:
+    """exact_match, edit_similarity, code_bleu and both texts, of a cleaned answer and its target, as one struct."""
+    return F.struct(exact_match(pred, ref).alias("exact_match"), edit_similarity(pred, ref).alias("edit_similarity"), code_bleu(pred, ref).alias("code_bleu"), pred.alias("pred_clean"), ref.alias("ref_clean"))
+
+
 def _tree(text: str) -> ast.AST | None:
     try:
         return ast.parse(text.strip(), mode="eval")

@@ -278,6 +278,21 @@ def token_estimate(x: Column, at_least_one: bool = False) -> Column:
     return F.when(F.length(x) > 0, F.greatest(F.lit(1), quarter)).otherwise(0) if at_least_one else quarter
 
 
+# What counts as a call, an attribute's owner and an identifier.
+CALL, OWNER, IDENTIFIER = r"\b([a-zA-Z_]\w*)\s*\(", r"\b([a-zA-Z_]\w*)\s*\.", r"\b([a-zA-Z_]\w*)\b"
+
+
+def block_score(names: Column, prefix: Column) -> Column:
+    """How relevant a block that defines `names` is to a prefix: called 1.0, owner of an attribute 0.8, mentioned 0.5, else 0.1."""
+    held = lambda pattern: F.coalesce(F.arrays_overlap(names, F.regexp_extract_all(prefix, F.lit(pattern), F.lit(1))), F.lit(False))
+    return F.when(held(CALL), 1.0).when(held(OWNER), 0.8).when(held(IDENTIFIER), 0.5).otherwise(0.1)
+
+
+def hash64(*parts: Column) -> Column:
+    """H4: a 64-bit key of the parts, null parts included."""
+    return F.xxhash64(*parts)
+
+
 def slug(path: Column) -> Column:
     """X26"""
     return F.replace(path, F.lit("/"), F.lit("__"))

@@ -1,4 +1,4 @@
-"""Column functions over arrays of numbers."""
+"""Column functions over arrays of numbers."""
 
 from __future__ import annotations
 
@@ -93,6 +93,32 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(x, F.lit(high)))
 
 
+def log_sized(x: Column, low: Column, high: Column) -> Column:
+    """M4: 5 to 100 by ln(1 + x) between a group's least and greatest x; 50 where all are equal, 8 where none is above 0."""
+    at, lo, hi = (F.log1p(F.greatest(v, F.lit(0)).cast("double")) for v in (x, low, high))
+    return F.when(hi <= 0, 8.0).when(hi <= lo, 50.0).otherwise(5.0 + 95.0 * (at - lo) / (hi - lo + 1e-9))
+
+
+def root_sized(x: Column, low: Column, high: Column) -> Column:
+    """M4: 15 to 135 by the root of x between the least and greatest positive x; 40 where these are equal, 6 where x is not above 0."""
+    at, lo, hi = (F.sqrt(v.cast("double")) for v in (x, low, high))
+    return F.when(F.coalesce(x, F.lit(0)) <= 0, 6.0).when(hi <= lo, 40.0).otherwise(15.0 + 120.0 * (at - lo) / (hi - lo + 1e-9))
+
+
+def file_scores(distinct: Column, size: Column, path: Column, n_lines: Column, a_distinct: float = 1.0, b_size: float = 0.3, full_lines: int = 20) -> Column:
+    """V7: distinctiveness and size (both 0 to 1), what path and depth add, and a penalty for files of few lines."""
+    tiny = F.log(F.least(F.greatest(n_lines, F.lit(1)) / F.lit(float(full_lines)), F.lit(1.0)) + 1e-6)
+    return F.lit(a_distinct) * distinct + F.lit(b_size) * size + path_bonus(path) + depth_bonus(path) + 0.15 * tiny
+
+
+def weighted_pool(df: DataFrame, group: str, vector: str, weight: str, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+    """V6: (group, pooled): alpha times the weighted mean beside beta times the maximum; weights of a group add up to 1."""
+    cells = df.select(group, F.col(weight).alias("_w"), F.posexplode(vector).alias("pos", "x"))
+    cells = cells.groupBy(group, "pos").agg((F.sum(F.col("x") * F.col("_w")) * alpha).alias("mean"), (F.max("x").cast("double") * beta).alias("max"))
+    rows = cells.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "max"))).alias("c"))
+    return rows.select(group, F.concat("c.mean", "c.max").alias("pooled"))
+
+
 def softmax_weights(df: DataFrame, group: str, score: str, tau: float, out: str = "weight") -> DataFrame:
     """M2: per group, against its maximum; two aggregates and a join, no window over a group."""
     top = df.groupBy(group).agg(F.max(score).alias("_top"))

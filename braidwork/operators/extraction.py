@@ -1,4 +1,4 @@
-"""Table functions over source text, as Arrow-batched maps."""
+"""Table functions over source text, as Arrow-batched maps."""
 
 from __future__ import annotations
 
@@ -72,7 +72,7 @@ def _cut(node: ast.AST, places: _Places) -> tuple[str, int, int] | None:
 
 
 def assertions(source: str | None) -> list[tuple[str, str, str, int, int, str]]:
-    """Each assertion with the whole file before its answer, breadth first; broken source has none.
+    """Each assertion with the whole file before its answer, breadth first; broken source has none.
 
     The answer of a call ends with the call's bracket. Answers on several lines are joined into one;
     blank answers and those that begin with a comma are left out.
@@ -144,7 +144,7 @@ def compressed(source: str) -> str:
 
 
 def imports(source: str | None) -> list[tuple[str, str, int]]:
-    """(module, name, level) of every import; lines are matched where the source does not parse."""
+    """(module, name, level) of every import; lines are matched where the source does not parse."""
     tree = parse(source)
     if tree is None:
         out = []

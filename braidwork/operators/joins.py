@@ -100,6 +100,25 @@ def positional(groups: DataFrame, arrays: Sequence[str], keys: Sequence[str]) ->
     return zipped.select(*keys, "position", *(F.col(f"z.{a}").alias(a) for a in arrays))
 
 
+def by_running_offset(groups: DataFrame, scores: DataFrame, order: str, size: str, score: str, at: str) -> DataFrame:
+    """Groups, each of `size` rows, laid end to end by `order` and beside the score at every place; places beyond the scores hold null.
+
+    (order, position in the group, offset, score). Offsets come from positions and sums of sizes by range, not from one task.
+    """
+    from braidwork.operators.ordering import running_totals
+
+    placed = running_totals(groups, order, size)
+    rows = placed.select(order, F.col("_from"), F.explode(F.sequence(F.lit(0), F.col(size) - 1)).alias("position")).withColumn("offset", F.col("_from") + F.col("position")).drop("_from")
+    return rows.join(scores.select(F.col(at).cast("long").alias("offset"), score), "offset", "left")
+
+
+def lists_per_key(rows: DataFrame, lists: DataFrame, on: Sequence[str], value: str, out: str) -> DataFrame:
+    """Each row beside the sorted values of its key, an empty list where there is none; a key's values must fit one task."""
+    gathered = lists.groupBy(*on).agg(F.sort_array(F.collect_list(value)).alias(out))
+    kind = dict(gathered.dtypes)[out]
+    return rows.join(gathered, list(on), "left").withColumn(out, F.coalesce(out, F.array().cast(kind)))
+
+
 def chain_hits(links: DataFrame, node: str, parent: str, targets: DataFrame) -> DataFrame:
     """nodes that reach a target over a chain of links of any length, cycles included.
 

@@ -41,3 +41,12 @@ def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], row_id
     for i, c in enumerate(group):
         met = met & placed[c].eqNullSafe(ahead[f"_g{i}"])
     return placed.join(ahead, met).select(placed[row_id], out)
+
+
+def running_totals(df: DataFrame, order: str, size: str, out: str = "_from") -> DataFrame:
+    """df with the sum of `size` over all rows before each, by `order`; rows are added up range by range, ranges by their totals."""
+    ranged = stored(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "running-totals")
+    totals = ranged.groupBy("_part").agg(F.sum(size).alias("_t"))  # a row per range
+    before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    inside = F.coalesce(F.sum(size).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_inside", inside).join(before, "_part").withColumn(out, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_before", "_inside")

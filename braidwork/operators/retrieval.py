@@ -1,4 +1,4 @@
-"""Lexical and dense retrieval, rank fusion, packing of context."""
+"""Lexical and dense retrieval, rank fusion, packing of context."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from braidwork.functions.text import search_tokens
 
 K1, B = 1.5, 0.75
 FUSION = 60
+# How examples are set before a question.
+SHOT_HEAD, SHOT_BREAK, SHOT_ASK = "# Examples of assertion completions:\n\n", "\n\n# ---\n\n", "\n\n# ---\n\n# Now complete the following assertion:\n"
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text") -> DataFrame:
@@ -87,6 +89,24 @@ def fused(rankings: list[DataFrame], query_id: str, doc_id: str, k: int) -> Data
     return scores.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
 
 
+def few_shot_prompts(queries: DataFrame, examples: DataFrame, query_id: str, prefix: str, example: str, rank: str) -> DataFrame:
+    """(query_id, prompt): a query's examples, best first, set before it; a query without examples is its prefix alone.
+
+    Examples are few per query: choose them by a top-k before.
+    """
+    lists = examples.groupBy(query_id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(example).alias("e")))), lambda x: x.e), SHOT_BREAK).alias("_shots"))
+    shown = F.concat(F.lit(SHOT_HEAD), F.col("_shots"), F.lit(SHOT_ASK), F.col(prefix))
+    return queries.join(lists, query_id, "left").select(query_id, F.coalesce(shown, F.col(prefix)).alias("prompt"))
+
+
+def window_index(docs: DataFrame, doc_id: str, text: str, size: int, overlap: int, least: int) -> DataFrame:
+    """(doc_id, window, tokens): overlapping windows of search tokens; empty texts and windows under `least` tokens give none."""
+    from braidwork.functions.vectors import token_windows
+
+    tokens = docs.where(F.col(text).isNotNull()).select(doc_id, token_windows(search_tokens(F.col(text)), size, overlap, least).alias("w"))
+    return tokens.select(doc_id, F.posexplode("w").alias("window", "tokens"))
+
+
 def packed_context(blocks: DataFrame, group: str, budget: int) -> DataFrame:
     """Per group the blocks in order of score, each in full if it fits what is left, else short, else skipped.
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.operators.ordering import positions
+
 
 def luck(seed: str, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in columns)))
@@ -33,11 +35,24 @@ def tiered_cap(size: Column) -> Column:
     return F.when(size <= 100, size).when(size <= 500, 100).when(size <= 1000, 200).when(size <= 5000, 400).otherwise(800)
 
 
+def budgeted(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
+    """Rows of each group in hashed order until the group's tier is used up."""
+    sizes = df.groupBy(group).agg(tiered_cap(F.count("*")).alias("_cap"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(luck(seed, key), key))
+    return df.withColumn("_rn", rank).join(sizes, group).where(F.col("_rn") <= F.col("_cap")).drop("_rn", "_cap")
+
+
+def two_stage_sample(df: DataFrame, group: Sequence[str], key: str, per_group: int, n: int, seed: str) -> DataFrame:
+    """The first few of each group by key, and n of these at random."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(key))
+    return sample_rows(df.withColumn("_rn", rank).where(F.col("_rn") <= per_group).drop("_rn"), key, n, seed)
+
+
 def random_split(df: DataFrame, group: str, key: str, seed: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """80/10/10 inside each group in hashed order."""
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    at = F.row_number().over(Window.partitionBy(group).orderBy(luck(seed, key), key))
-    ranked = df.withColumn("_rn", at).join(sizes, group)
+    placed = positions(df.withColumn("_luck", luck(seed, key)), [group], ["_luck", key], "_at").drop("_luck")
+    ranked = placed.join(sizes, group).withColumn("_rn", F.col("_at") + 1).drop("_at")
     label = F.when(F.col("_rn") <= F.floor(F.col("_n") * train), "train").when(F.col("_rn") <= F.floor(F.col("_n") * (train + val)), "val").otherwise("test")
     return ranked.withColumn("split", label).drop("_rn", "_n")
 

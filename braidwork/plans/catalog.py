@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("skewed", "splits_and_anchors", "ordered", "relational", "summaries", "expressions")
+MODULES = ("skewed", "splits_and_anchors", "ordered", "relational", "summaries", "expressions", "roundtrips", "wider")
 
 QUERIES: dict = {}
 ORACLE: dict = {}

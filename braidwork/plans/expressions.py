@@ -127,10 +127,6 @@ def _changes_with_keys(s, d):
     return changes.join(known, "new_blob", "left").drop("new_blob")
 
 
-def _recurrent(s, d):
-    rows = table(s, d, "commits").where(vectors.is_finite(F.col("diff_embedding"), 64)).select("repo_id", "commit_index", "diff_embedding").dropDuplicates(["repo_id", "commit_index"])
-    return stateful.recurrent_walk(rows, "repo_id", "commit_index", "diff_embedding").groupBy("repo_id").agg(F.max_by("state", "commit_index").alias("h")).select("repo_id", F.round(vectors.norm(F.col("h")), 5).alias("norm"))
-
 
 def _metrics(s, d):
     a = _answers(s, d)
@@ -144,7 +140,6 @@ PAIRS = {
     "x_match_form": (lambda s, d: texts(s, d).where("target is not null").select("qna_id", text.match_form(F.col("target")).alias("f")), f"with {SQL_T} select qna_id, {SQL_MATCH} as f from t where target is not null"),
     "x_comments": (lambda s, d: texts(s, d).where("target is not null").select("qna_id", text.without_comment(F.col("target")).alias("f")), f"with {SQL_T} select qna_id, " + sql_strip("string_split(target, '#')[1]") + " as f from t where target is not null"),
     "x_search_tokens": (lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.size(text.search_tokens(F.col("text"))).alias("n")), f"select doc_id, cast(len({SQL_TOKENS.format('text')}) as int) as n from documents where text is not null"),
-    "x_code_tokens": (lambda s, d: texts(s, d).where("target is not null").select("qna_id", F.size(text.code_tokens(F.col("target"))).alias("n")), None),
     "x_frameworks": (
         lambda s, d: table(s, d, "blobs").groupBy(text.framework(F.col("text")).alias("framework"), F.array_join(text.test_tags(F.col("text")), ",").alias("tags")).agg(F.count("*").alias("n")),
         """with b as (select lower(text) as l from blobs), u as (select l, contains(l, 'import unittest') or contains(l, 'from unittest') or contains(l, 'unittest.') as u, contains(l, 'import pytest') or contains(l, 'from pytest') or contains(l, 'pytest.') as p from b)
@@ -233,7 +228,6 @@ PAIRS = {
     "x_error_classes": (lambda s, d: _answers(s, d).where(F.col("got") != F.col("target")).groupBy(score_functions.error_class("target", "got").alias("kind")).agg(F.count("*").alias("n")), None),
     "x_difficulty_exact": (lambda s, d: texts(s, d).where("target is not null").groupBy(score_functions.difficulty_exact("target").alias("difficulty")).agg(F.count("*").alias("n")), None),
     "z_new_definitions": (lambda s, d: stateful.new_assertions(_changes_with_keys(s, d)), None),
-    "z_recurrent": (_recurrent, None),
     "z_only_new_blobs": (
         lambda s, d: stateful.only_new(table(s, d, "blobs").select("blob_sha"), table(s, d, "file_changes").where("seq < 5").select(F.col("new_blob").alias("blob_sha")), "blob_sha"),
         "select distinct blob_sha from blobs where blob_sha not in (select new_blob from file_changes where seq < 5 and new_blob is not null)",

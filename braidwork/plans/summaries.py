@@ -124,16 +124,10 @@ PAIRS = {
         f"with {SQL_Q}, {SQL_S} select method, count(*) as n_qnas, count(distinct repo_id) as n_repos, count(distinct (repo_id, commit_sha)) as n_commits, {METRICS} from s group by 1",
     ),
     "a_per_type": (lambda s, d: _means(scores(s, d), "assertion_type"), f"with {SQL_Q}, {SQL_S} select assertion_type, count(*) as n, {METRICS} from s group by 1"),
-    "a_difficulty_mix": (
-        lambda s, d: texts(s, d).where("target is not null").groupBy(text.difficulty(F.col("target")).alias("difficulty"), text.composition_class(F.col("target")).alias("composition")).agg(F.count("*").alias("n")),
-        None,
-    ),
     "a_assertion_styles": (
         lambda s, d: texts(s, d).groupBy(text.assertion_style(F.col("prefix")).alias("style")).agg(F.count("*").alias("n")),
         rf"with {SQL_T}, x as (select string_split(regexp_replace(prefix, '[\t-\r\x1c-\x20\x{{85}}\x{{a0}}]+\z', ''), chr(10))[-1] as l from t) select case when contains(l, 'self.assert') or contains(l, 'self.Assert') then 'self.assert*' when contains(l, 'pytest.') then 'pytest.*' else 'assert' end as style, count(*) as n from x group by 1",
     ),
-    "a_failure_modes": (lambda s, d: _answers(s, d).where(F.col("got") != F.col("target")).groupBy(text.failure_mode(F.col("target"), F.col("got")).alias("mode")).agg(F.count("*").alias("n")), None),
-    "a_exact_match": (_exact_match, None),
     "a_linear_fit": (
         lambda s, d: _rounded(_per_repo(s, d).groupBy("cross_repo_split").agg(*stats.linear_fit("n", "es")), "slope", "intercept"),
         f"with {SQL_Q}, {SQL_S}, {SQL_REPO} select cross_repo_split, round(case when coalesce(var_pop(n), 0) = 0 then 0 else regr_slope(es, n) end, 6) as slope, round(case when coalesce(var_pop(n), 0) = 0 then avg(es) else regr_intercept(es, n) end, 6) as intercept from r group by 1",

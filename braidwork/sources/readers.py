@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidwork import schema
@@ -56,9 +56,12 @@ def scan(df: DataFrame, columns: Sequence[str] | None = None, **conditions: obje
     return schema.known_columns(out, list(columns)) if columns else out
 
 
-def read_split_file(spark: SparkSession, path: str, with_embedding: bool = False) -> DataFrame:
-    """One row per valid pair of a nested split file; with_embedding keeps only repositories that have one."""
-    rows = spark.read.schema(schema.SPLIT_FILE).option("multiLine", True).json(path).select(F.explode("repositories").alias("repo_id", "r"))
+def read_split_file(spark: SparkSession, path: str, with_embedding: bool = False, a_line_each: bool = False) -> DataFrame:
+    """One row per valid pair of a nested split file; with_embedding keeps only repositories that have one.
+
+    A file is one document, or, with a_line_each, has one on every line, as `write_split_files` writes it.
+    """
+    rows = spark.read.schema(schema.SPLIT_FILE).option("multiLine", not a_line_each).json(path).select(F.explode("repositories").alias("repo_id", "r"))
     if with_embedding:
         rows = rows.where(F.size("r.embedding") > 0)
     pairs = rows.select("repo_id", *(["r.embedding"] if with_embedding else []), F.posexplode("r.qna_pairs").alias("position", "p")).select("*", "p.*").drop("p")
@@ -67,6 +70,36 @@ def read_split_file(spark: SparkSession, path: str, with_embedding: bool = False
     return pairs.where(is_valid_pair(F.col("prefix"), F.col("target")))
 
 
+def ordered_bench(pairs: DataFrame, per_repo: int, repos: int | None = None) -> DataFrame:
+    """The first pairs of each repository by commit and id, a (prefix, target) once, of the first repositories by name.
+
+    Text is compared by its hash and fetched for the chosen pairs only; the best few of a repository
+    are kept by every task before they are shuffled.
+    """
+    narrow = pairs.select("repo_id", "commit_index", "qna_id", F.sha2("prefix", 256).alias("_p"), F.sha2(F.coalesce("target", F.lit("")), 256).alias("_t"))
+    first = narrow.groupBy("repo_id", "_p", "_t").agg(F.min(F.struct("commit_index", "qna_id")).alias("k")).select("repo_id", "k.*")
+    if repos is not None:
+        first = first.join(first.select("repo_id").distinct().orderBy("repo_id").limit(repos), "repo_id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("repo_id").orderBy("commit_index", "qna_id"))
+    kept = first.withColumn("rank", rank).where(F.col("rank") <= per_repo).select("qna_id", "rank")
+    return pairs.dropDuplicates(["qna_id"]).join(kept, "qna_id")
+
+
+def read_bench(spark: SparkSession, path: str, per_repo: int, repos: int | None = None, a_line_each: bool = False) -> DataFrame:
+    """The first valid pairs of each repository of a nested split file, of the first repositories by name."""
+    rows = read_split_file(spark, path, a_line_each=a_line_each)
+    if repos is not None:
+        rows = rows.join(rows.select("repo_id").distinct().orderBy("repo_id").limit(repos), "repo_id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("repo_id").orderBy("position"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= per_repo)
+
+
+def repositories(df: DataFrame, key: str = "repo_id") -> Iterator[tuple[str, DataFrame]]:
+    """Each repository with its rows, which are read when they are used and not before; names come one by one."""
+    for row in df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).toLocalIterator():
+        yield row[0], df.where(F.col(key) == row[0])
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """S25"""
     return spark.read.csv(path, sep="\t", header=True, schema=schema.MANIFEST)

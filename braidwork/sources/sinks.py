@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -23,10 +23,10 @@ def write_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def split_file(pairs: DataFrame) -> DataFrame:
-    """K6: one JSON document per repository, as read back by the split reader."""
+def split_file(pairs: DataFrame, at_once: int = 1000) -> DataFrame:
+    """K6: JSON documents as read back by the split reader, each with up to `at_once` pairs of one repository, by position."""
     pair = F.struct("prefix", "target", "assertion_type", "difficulty", "context_lines")
-    lists = pairs.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("position", pair.alias("p")))).alias("l"))
+    lists = pairs.groupBy("repo_id", F.floor(F.col("position") / at_once)).agg(F.array_sort(F.collect_list(F.struct("position", pair.alias("p")))).alias("l"))
     body = F.struct(F.lit(None).cast("array<double>").alias("embedding"), F.col("l.p").alias("qna_pairs"))
     return lists.select(F.to_json(F.struct(F.create_map("repo_id", body).alias("repositories"))).alias("value"))
 
@@ -56,6 +56,16 @@ def provenance(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def concat_shards(spark: SparkSession, paths: Sequence[str], path: str, files: int) -> None:
+    """K2: several tables of one shape as one, in a given number of files."""
+    spark.read.option("mergeSchema", True).parquet(*paths).repartition(files).write.mode("overwrite").parquet(path)
+
+
+def upserted(base: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """K4: base with the rows of changes put in, or in place of rows of equal key; changes hold a key once."""
+    return base.join(changes.select(*key), list(key), "left_anti").unionByName(changes)
+
+
 def append_batch(path: str):
     """For foreachBatch; a batch that is written again after a failure replaces itself."""
 

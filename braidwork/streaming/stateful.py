@@ -85,7 +85,7 @@ def stream_new_assertions(changes: DataFrame) -> DataFrame:
 
 
 def recurrent_walk(rows: DataFrame, group: str, order: str, vector: str, step: Callable | None = None) -> DataFrame:
-    """h_t = f(h_{t-1}, x_t) along each group, (group, order, state); f is the mean of both unless given.
+    """Z3: h_t = f(h_{t-1}, x_t) along each group, (group, order, state); f is the mean of both unless given.
 
     Null vectors leave the state as it is. Rows stream through in order; only the present state is held.
     """
@@ -108,6 +108,38 @@ def recurrent_walk(rows: DataFrame, group: str, order: str, vector: str, step: C
     return flat.mapInPandas(walk, f"{group} {kinds[group]}, {order} {kinds[order]}, state array<double>")
 
 
+def evaluated_walk(rows: DataFrame, group: str, order: str, vector: str, step: Callable | None = None, score: Callable | None = None) -> DataFrame:
+    """(group, order, score) at every step of a recurrent walk: the step's vector against the state before it.
+
+    score is the cosine unless given; the first vector of a group, and null ones, have no score.
+    """
+    import numpy as np
+
+    f = step or (lambda h, x: (h + x) / 2)
+    cosine = score or (lambda h, x: float(h @ x / max(np.linalg.norm(h) * np.linalg.norm(x), 1e-300)))
+    kinds = dict(rows.dtypes)
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for frame in frames:
+            out = []
+            for g, o, x in frame.itertuples(index=False):
+                if g != now:
+                    now, state = g, None
+                if x is None:
+                    continue
+                x = np.asarray(x, dtype=np.float64)
+                if state is not None and len(state) == len(x):
+                    out.append((g, o, cosine(state, x)))
+                    state = f(state, x)
+                else:
+                    state = x
+            yield pd.DataFrame(out, columns=[group, order, "score"])
+
+    flat = rows.select(group, order, vector).repartition(group).sortWithinPartitions(group, order)
+    return flat.mapInPandas(walk, f"{group} {kinds[group]}, {order} {kinds[order]}, score double")
+
+
 def only_new(incoming: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key has not been worked on, each key once."""
     return incoming.dropDuplicates([key]).join(done.select(key), key, "left_anti")
