@@ -76,29 +76,52 @@ def _parts(tree: ast.AST | None) -> tuple[str, set, set]:
     return type(tree.body).__name__, names, {repr(n.value) for n in nodes if isinstance(n, ast.Constant)}
 
 
+class _Answer:
+    """What the rules below ask of an answer and its target; trees are parsed when first asked for."""
+
+    def __init__(self, expected: str, got: str, closeness: float | None):
+        self.expected, self.got, self._close = expected, got, closeness
+        self._trees: tuple | None = None
+
+    def repeats_itself(self) -> bool:
+        words = self.got.split()
+        return len(self.got) > 30 and len(words) > 5 and 2 * len(set(words)) < len(words)
+
+    def close(self) -> bool:
+        return (similarity(self.expected, self.got) if self._close is None else self._close) > 0.8
+
+    def trees(self) -> tuple:
+        if self._trees is None:
+            self._trees = _parts(_tree(self.got)), _parts(_tree(self.expected))
+        return self._trees
+
+    def differs(self, part: int) -> bool:
+        return self.trees()[0][part] != self.trees()[1][part]
+
+    def both_have(self, part: int) -> bool:
+        return bool(self.trees()[0][part] and self.trees()[1][part])
+
+
+KIND, NAMES, VALUES = 0, 1, 2
+# The classes of errors, in the order in which they are tried.
+ERROR_RULES = (
+    ("Empty/Truncated", lambda a: not a.got),
+    ("Hallucination", lambda a: len(a.got) > max(100, 3 * len(a.expected)) or a.repeats_itself()),
+    ("Near-Miss", lambda a: a.close()),
+    ("Syntax Error", lambda a: a.trees()[0][KIND] == "unparseable"),
+    ("Wrong Identifier", lambda a: a.both_have(NAMES) and a.differs(NAMES) and not a.differs(VALUES)),
+    ("Wrong Literal", lambda a: a.both_have(VALUES) and a.differs(VALUES) and not a.differs(NAMES)),
+    ("Type Mismatch", lambda a: a.differs(KIND) and a.trees()[1][KIND] != "unparseable"),
+    ("Wrong Identifier", lambda a: a.differs(NAMES)),
+    ("Wrong Literal", lambda a: a.differs(VALUES)),
+    ("Type Mismatch", lambda a: True),
+)
+
+
 def error_kind(expected: str | None, got: str | None, closeness: float | None = None) -> str:
-    """Why an answer is wrong, first reason first. Nulls count as empty."""
-    expected, got = (expected or "").strip(), (got or "").strip()
-    words = got.split()
-    if not got:
-        return "Empty/Truncated"
-    if len(got) > max(100, 3 * len(expected)) or (len(got) > 30 and len(words) > 5 and 2 * len(set(words)) < len(words)):
-        return "Hallucination"
-    if (similarity(expected, got) if closeness is None else closeness) > 0.8:
-        return "Near-Miss"
-    tree = _tree(got)
-    if tree is None:
-        return "Syntax Error"
-    (kind, names, values), (want, want_names, want_values) = _parts(tree), _parts(_tree(expected))
-    if names and want_names and names != want_names and values == want_values:
-        return "Wrong Identifier"
-    if values and want_values and values != want_values and names == want_names:
-        return "Wrong Literal"
-    if kind != want and want != "unparseable":
-        return "Type Mismatch"
-    if names != want_names:
-        return "Wrong Identifier"
-    return "Wrong Literal" if values != want_values else "Type Mismatch"
+    """Why an answer is wrong: the first rule that holds. Nulls count as empty."""
+    answer = _Answer((expected or "").strip(), (got or "").strip(), closeness)
+    return next(label for label, holds in ERROR_RULES if holds(answer))
 
 
 @F.pandas_udf(StringType())

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions.text import search_tokens
+from braidwork.session import stored
 
 K1, B = 1.5, 0.75
 FUSION = 60
@@ -17,22 +18,64 @@ FUSION = 60
 SHOT_HEAD, SHOT_BREAK, SHOT_ASK = "# Examples of assertion completions:\n\n", "\n\n# ---\n\n", "\n\n# ---\n\n# Now complete the following assertion:\n"
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text") -> DataFrame:
-    """(query_id, doc_id, score) of every pair with a common term; all others score 0.
+def _query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
+    return queries.select(query_id, F.explode(search_tokens(F.col(text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qf"))
 
-    idf = ln((N - df + .5) / (df + .5) + 1); a term that a query repeats counts as often. The
-    postings are restricted to the query terms before they are shuffled.
-    """
-    terms = queries.select(query_id, F.explode(search_tokens(F.col(text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qf"))
+
+def _postings(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((term, doc_id, dl, tf) of the wanted terms, one row of n_docs and avgdl)."""
     tokens = docs.select(doc_id, search_tokens(F.coalesce(text, F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    totals = tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    wanted = terms.select("term").distinct()
     postings = tokens.select(doc_id, "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", doc_id, "dl").agg(F.count("*").alias("tf"))
+    return postings, tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+
+def _weighed(terms: DataFrame, postings: DataFrame, totals: DataFrame) -> DataFrame:
+    """terms with avgdl and idf = ln((N - df + .5) / (df + .5) + 1); terms that no document holds are left out."""
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = terms.join(df, "term").join(F.broadcast(totals))
-    idf = idf.withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(idf, "term").groupBy(query_id, doc_id).agg(F.sum(part).alias("score"))
+    rows = terms.join(df, "term").join(F.broadcast(totals))  # one row beside each
+    return rows.withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+
+
+def _part() -> Column:
+    return F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text") -> DataFrame:
+    """(query_id, doc_id, score) of every pair with a common term; all others score 0.
+
+    A term that a query repeats counts as often. The postings are restricted to the query terms
+    before they are shuffled. For the best few use `bm25_top_k`.
+    """
+    terms = _query_terms(queries, query_id, text)
+    postings, totals = _postings(docs, doc_id, text, terms.select("term").distinct())
+    return postings.join(_weighed(terms, postings, totals), "term").groupBy(query_id, doc_id).agg(F.sum(_part()).alias("score"))
+
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k: int, text: str = "text", digits: int = 6) -> DataFrame:
+    """(query_id, doc_id, score, rank from 0), exact, ties by doc_id after rounding.
+
+    A term adds at most qf x idf x (K1 + 1). A query's terms are ordered by that bound. Scores by the
+    upper part of them give a floor for its k-th best score; terms whose bounds together stay under
+    the floor, the stop words above all, cannot bring a new document among the best. So only documents
+    with another term are candidates, and long lists are joined with candidates instead of paired with queries.
+    """
+    terms = _query_terms(queries, query_id, text)
+    found, totals = _postings(docs, doc_id, text, terms.select("term").distinct())
+    postings = stored(found, "bm25-postings")
+    bound = F.col("qf") * F.col("idf") * (K1 + 1)
+    per_query = Window.partitionBy(query_id).orderBy(F.desc("bound"), "term")
+    weighed = stored(_weighed(terms, postings, totals).withColumn("bound", bound).withColumn("below", F.sum("bound").over(Window.partitionBy(query_id).orderBy("bound", F.desc("term")))).withColumn("place", F.percent_rank().over(per_query)), "bm25-terms")
+    high = postings.join(weighed.where("place <= 0.5"), "term").groupBy(query_id, doc_id).agg(F.sum(_part()).alias("s"))
+    kth = high.withColumn("_r", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("s"), doc_id))).where(F.col("_r") == k).select(query_id, F.col("s").alias("floor"))
+    judged = weighed.join(kth, query_id, "left").withColumn("essential", F.col("below") + 10.0**-digits >= F.coalesce("floor", F.lit(0.0)))
+    judged = stored(judged.select(query_id, "term", "qf", "idf", "avgdl", "essential"), "bm25-judged")
+    core = postings.join(judged.where("essential"), "term").groupBy(query_id, doc_id).agg(F.sum(_part()).alias("s"))
+    core = stored(core, "bm25-candidates")
+    rest = judged.where("not essential").select(query_id, "term", "qf", "idf", "avgdl")
+    more = core.select(query_id, doc_id).join(rest, query_id).join(postings, ["term", doc_id]).select(query_id, doc_id, _part().alias("s"))
+    total = core.unionByName(more).groupBy(query_id, doc_id).agg(F.sum("s").alias("score"))
+    best = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", digits)), doc_id)
+    return total.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
 
 
 def dense_top_k(base: DataFrame, queries: DataFrame, base_id: str, query_id: str, vector: str, k: int) -> DataFrame:

@@ -30,9 +30,16 @@ def sample_per_group(df: DataFrame, group: Sequence[str], key: str, n: int, seed
     return df.withColumn("_rn", rank).where(F.col("_rn") <= n).drop("_rn")
 
 
-def tiered_cap(size: Column) -> Column:
-    """Fewer per repository the more it has."""
-    return F.when(size <= 100, size).when(size <= 500, 100).when(size <= 1000, 200).when(size <= 5000, 400).otherwise(800)
+# Up to so many rows in a group, so many are taken; none set means all of them.
+TIERS, BEYOND = ((100, None), (500, 200), (1000, 200), (5000, 150)), 50
+
+
+def tiered_cap(size: Column, tiers: Sequence[tuple[int, int | None]] = TIERS, beyond: int = BEYOND) -> Column:
+    """How many rows of a group are taken, by its size."""
+    cap = F.lit(beyond)
+    for upto, most in reversed(tiers):
+        cap = F.when(size <= upto, size if most is None else F.lit(most)).otherwise(cap)
+    return cap
 
 
 def budgeted(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:

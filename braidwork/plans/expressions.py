@@ -29,9 +29,8 @@ SQL_TOKENS = "regexp_extract_all(lower({0}), '[a-zA-Z_][a-zA-Z0-9_]*|\\d+')"
 
 
 def _bm25(s, d, k=10):
-    scores = retrieval.bm25_scores(table(s, d, "documents").where("text is not null"), table(s, d, "heldout_items").where("item_id % 20 = 0"), "doc_id", "item_id")
-    best = Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k).select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    found = retrieval.bm25_top_k(table(s, d, "documents").where("text is not null"), table(s, d, "heldout_items").where("item_id % 20 = 0"), "doc_id", "item_id", k)
+    return found.select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 SQL_BM25 = f"""with d as (select doc_id, {SQL_TOKENS.format('text')} as t from documents where text is not null), n as (select count(*) as n, avg(len(t)) as avgdl from d),

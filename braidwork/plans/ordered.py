@@ -144,7 +144,7 @@ PAIRS = {
     ),
     "t_tiered_cap": (
         lambda s, d: qna(s, d).groupBy("repo_id").agg(F.count("*").alias("n")).select("repo_id", sampling.tiered_cap(F.col("n")).cast("long").alias("cap")),
-        f"with {SQL_Q} select repo_id, case when count(*) <= 100 then count(*) when count(*) <= 500 then 100 when count(*) <= 1000 then 200 when count(*) <= 5000 then 400 else 800 end as cap from q group by repo_id",
+        f"with {SQL_Q} select repo_id, case when count(*) <= 100 then count(*) when count(*) <= 1000 then 200 when count(*) <= 5000 then 150 else 50 end as cap from q group by repo_id",
     ),
     "t_draws_with_replacement": (
         lambda s, d: sampling.draws_with_replacement(qna(s, d), qna(s, d), "repo_id", "qna_id", 8, 5, 16, "11").select("repo_id", "qna_id", F.col("draw").cast("long").alias("draw"), F.col("batch").cast("long").alias("batch")),

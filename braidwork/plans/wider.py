@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from braidwork.functions import scores as score_functions
 from braidwork.functions import text, vectors
-from braidwork.operators import context, geometry, joins, retrieval, sampling, stats, windows
+from braidwork.operators import context, extraction, geometry, joins, retrieval, sampling, stats, windows
 from braidwork.plans.base import SQL_C, SQL_Q, SQL_S, SQL_T, commits, qna, scores, texts
 from braidwork.plans.expressions import SQL_DENSE, _dense, _file_weights, sql_strip
 from braidwork.plans.summaries import SQL_ANSWERS, _answers, _exact_match
@@ -157,8 +157,6 @@ def _newest_files(s, d):
 
 
 def _contextual(s, d):
-    from braidwork.operators import extraction
-
     sources = texts(s, d).where("target is not null").select("qna_id", F.concat("prefix", "target").alias("text"))
     return extraction.exploded(sources, ["qna_id"], "text", context.contextual_assertions, "assertion_type string, structured string, last_lines string, target string, lineno int").groupBy("assertion_type").agg(F.count("*").alias("n"), F.sum((F.length("structured") <= F.length("last_lines")).cast("long")).alias("shorter"))
 
@@ -171,6 +169,31 @@ def _condensed(s, d):
     return table(s, d, "blobs").select("blob_sha", F.length(condensed("text")).alias("n_chars"), F.length("text").alias("n_before")).groupBy((F.col("n_chars") <= F.col("n_before")).alias("shorter")).agg(F.count("*").alias("n"))
 
 
+def _table_function(s, d, function, columns):
+    """On the test sources that prefixes and targets make, and on the files."""
+    tests = texts(s, d).where("target is not null").select(F.col("qna_id").cast("string").alias("id"), F.concat("prefix", "target").alias("text"))
+    files = table(s, d, "blobs").select(F.col("blob_sha").alias("id"), "text")
+    return extraction.exploded(tests.unionByName(files), ["id"], "text", function, columns)
+
+
+def _spliced(s, d):
+    """The rest of a prefix's last line, from its end on, replaced by an answer."""
+
+    @F.pandas_udf("string")
+    def spliced(prefix):
+        return prefix.map(lambda p: extraction.spliced(p, p.count("\n") + 1, len(p) - p.rfind("\n") - 1, "answer") if p and not p.endswith("\n") and "\r" not in p and len(p.splitlines()) == p.count("\n") + 1 else (p or "") + "answer")
+
+    return texts(s, d).select("qna_id", F.md5(spliced("prefix")).alias("source_md5"))
+
+
+def _compressed(s, d):
+    @F.pandas_udf("string")
+    def compressed(source):
+        return source.map(lambda t: None if t is None else extraction.compressed(t))
+
+    return table(s, d, "blobs").select((F.length(compressed("text")) <= F.length("text")).alias("shorter")).groupBy("shorter").agg(F.count("*").alias("n"))
+
+
 def _test_content(s, d):
     @F.pandas_udf("boolean")
     def holds(source):
@@ -320,7 +343,7 @@ PAIRS = {
     ),
     "t_budgeted": (
         lambda s, d: sampling.budgeted(qna(s, d).select("repo_id", "qna_id"), "repo_id", "qna_id", "s").select("qna_id"),
-        f"with {SQL_Q}, n as (select qna_id, count(*) over (partition by repo_id) as n, row_number() over (partition by repo_id order by md5('s|' || qna_id), qna_id) as r from q) select qna_id from n where r <= case when n <= 100 then n when n <= 500 then 100 when n <= 1000 then 200 when n <= 5000 then 400 else 800 end",
+        f"with {SQL_Q}, n as (select qna_id, count(*) over (partition by repo_id) as n, row_number() over (partition by repo_id order by md5('s|' || qna_id), qna_id) as r from q) select qna_id from n where r <= case when n <= 100 then n when n <= 1000 then 200 when n <= 5000 then 150 else 50 end",
     ),
     "t_two_stage_sample": (
         lambda s, d: sampling.two_stage_sample(qna(s, d).select("repo_id", "commit_sha", "qna_id"), ["repo_id", "commit_sha"], "qna_id", 2, 150, "s").select("qna_id"),
@@ -369,6 +392,13 @@ PAIRS = {
     "j_definitions": (lambda s, d: context.resolved_imports(_newest_files(s, d)).groupBy("repo_id").agg(F.count("*").alias("n"), F.count("definition").alias("defined")), None),
     "e_contextual": (_contextual, None),
     "e_condensed": (_condensed, None),
+    "e_next_blocks": (lambda s, d: _table_function(s, d, extraction.next_blocks, "test string, line int, before string, block string").withColumn("tags", F.array_join(text.test_tags(F.col("before")), ",")).groupBy("tags").agg(F.count("*").alias("n")), None),
+    "e_tasks": (lambda s, d: _table_function(s, d, extraction.tasks, "name string, head string, body string").groupBy("name").agg(F.count("*").alias("n"), F.max(F.length("body")).alias("longest")), None),
+    "e_spliced": (
+        _spliced,
+        f"with {SQL_T} select qna_id, md5(prefix || 'answer') as source_md5 from t",
+    ),
+    "r_compressed": (_compressed, None),
     "f_test_content": (_test_content, None),
 }
 

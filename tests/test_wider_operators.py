@@ -223,3 +223,18 @@ def test_ties_in_dense_search_are_kept(spark):
     base = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(40)] + [(100, [0.0, 1.0]), (101, [1.0])], "b long, v array<float>").coalesce(1)
     got = [r.b for r in retrieval.dense_top_k(base, base.where("b = 39").withColumnRenamed("b", "q"), "b", "q", "v", 3).orderBy("rank").collect()]
     assert got == [0, 1, 2]
+
+
+def test_best_by_bm25_are_exact(spark):
+    rng = random.Random(6)
+    rare = [f"t{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choice(["the", "of", "a"]) if rng.random() < 0.7 else rng.choice(rare) for _ in range(rng.randint(0, 40)))) for i in range(300)] + [(900, None), (901, "")]
+    asked = [(1, "the t3 of t9 t9 a"), (2, "the of"), (3, "unknown"), (4, ""), (5, "t1 the t1"), (6, None)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string").withColumn("s", F.lit(1)), spark.createDataFrame(asked, "item_id int, text string")
+    got = {(r.item_id, r.rank): (r.doc_id, round(r.score, 6)) for r in retrieval.bm25_top_k(d, q, "doc_id", "item_id", 7).collect()}
+    every = {}
+    for r in retrieval.bm25_scores(d, q, "doc_id", "item_id").collect():
+        every.setdefault(r.item_id, []).append((-round(r.score, 6), r.doc_id))
+    want = {(i, k): (doc, -s) for i, rows in every.items() for k, (s, doc) in enumerate(sorted(rows)[:7])}
+    assert got == want and len(want) == 21
+    assert retrieval.bm25_top_k(d.where("false"), q, "doc_id", "item_id", 7).count() == 0
