@@ -172,7 +172,8 @@ class Reader:
             if len(self.known) > MOST_WORDS:
                 self.known.clear(), self.plain.clear()
             found = self.known[word] = self.search(word)
-            if len(found) == 1 and found[0][:2] == (LATIN, LATIN) and found[0][3] == word:
+            best = min(found, key=lambda x: (x[2], x[:2]))
+            if best[:2] == (LATIN, LATIN) and best[3] == word:
                 self.plain.add(word)
         return found
 
@@ -183,9 +184,10 @@ class Reader:
         """The reading of a text whose look-alike classes are given, as `apart` gives them."""
         letters = _ASCII_LETTERS if flat.isascii() else _LETTERS
         words = letters.findall(flat)
-        fresh = set(words).difference(self.plain)
-        if not any(len(found) > 1 or found[0][:2] != (LATIN, LATIN) or found[0][3] != w for w in fresh for found in (self.readings(w),)):
-            return unicodedata.normalize("NFC", flat)  # the search left every word one reading, as it stands
+        for word in set(words).difference(self.plain):
+            self.readings(word)
+        if self.plain.issuperset(words):  # the cheapest readings of all words, without a switch between them: nothing can cost less
+            return unicodedata.normalize("NFC", flat)
         layer: dict[int, tuple[float, tuple | None]] = {LATIN: (0.0, None)}
         for word in words:
             nxt: dict[int, tuple[float, tuple | None]] = {}
