@@ -50,3 +50,27 @@ def running_totals(df: DataFrame, order: str, size: str, out: str = "_from") ->
     before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
     inside = F.coalesce(F.sum(size).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ranged.withColumn("_inside", inside).join(before, "_part").withColumn(out, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_before", "_inside")
+
+
+def arranged(df: DataFrame, group: Sequence[str], how: str, index: str, name: str, seed: str = "0") -> DataFrame:
+    """Df with each row's position in its group: chronological or reverse by index, alphabetical by name, or random by a hash of seed and both."""
+    from braidwork.operators.sampling import luck
+
+    key = {"chronological": F.col(index), "reverse": -F.col(index), "alphabetical": F.lit(0), "random": luck(seed, index, name)}[how]
+    placed = positions(df.withColumn("_key", key), group, ["_key", name, index])
+    return placed.drop("_key")
+
+
+def sequences(commits: DataFrame, questions: DataFrame, group: str, order: Sequence[str], least: int, most_groups: int | None, seed: str = "0", **conditions: object) -> DataFrame:
+    """Commits that meet equality conditions, of groups with at least `least` of them, of the first `most_groups` groups in hashed order, each with its position and the number of its questions.
+
+    Questions themselves are fetched when they are used; `order` starts with the columns that questions share with commits.
+    """
+    from braidwork.operators.sampling import groups_of_size, luck
+    from braidwork.schema import equality_filter
+
+    rows = groups_of_size(commits.where(equality_filter(**conditions)), group, least)
+    if most_groups is not None:
+        rows = rows.join(rows.select(group).distinct().orderBy(luck(seed, group), group).limit(most_groups), group, "left_semi")
+    asked = questions.groupBy(group, order[0]).agg(F.count("*").alias("n_questions"))
+    return positions(rows, [group], order).join(asked, [group, order[0]], "left").withColumn("n_questions", F.coalesce("n_questions", F.lit(0)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from braidwork.functions import scores as score_functions
 from braidwork.functions import text, vectors
-from braidwork.operators import context, extraction, geometry, joins, retrieval, sampling, stats, windows
+from braidwork.operators import context, extraction, geometry, joins, ordering, retrieval, sampling, stats, windows
 from braidwork.plans.base import SQL_C, SQL_Q, SQL_S, SQL_T, commits, qna, scores, texts
 from braidwork.plans.expressions import SQL_DENSE, _dense, _file_weights, sql_strip
 from braidwork.plans.summaries import SQL_ANSWERS, _answers, _exact_match
@@ -267,7 +267,31 @@ def _timeline_metrics(s, d):
     return walked.groupBy("repo_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("score"))
 
 
+def _arranged(how):
+    def run(s, d):
+        files = table(s, d, "file_changes").where("path is not null").select("repo_id", "seq", "path").distinct()
+        vec = table(s, d, "embeddings").select((F.col("vec_id") % 50).alias("k"), F.element_at("embedding", 1).alias("x")).groupBy("k").agg(F.round(F.max("x"), 5).alias("x"))
+        met = ordering.arranged(files, ["repo_id"], how, "seq", "path", "9")
+        return met.join(vec, F.col("seq") % 50 == F.col("k")).select("repo_id", "position", "seq", "path", "x")
+
+    return run
+
+
+def _sql_arranged(order):
+    return f"""with f as (select distinct repo_id, seq, path from file_changes where path is not null), p as (select *, row_number() over (partition by repo_id order by {order}) - 1 as position from f), v as (select vec_id % 50 as k, round(max(embedding[1]), 5) as x from embeddings group by 1)
+    select repo_id, position, seq, path, x from p join v on seq % 50 = k"""
+
+
 PAIRS = {
+    "s_sequences": (
+        lambda s, d: ordering.sequences(commits(s, d), qna(s, d), "repo_id", ["commit_index", "commit_sha"], 5, 12, "4", cross_repo_split="train").select("repo_id", "position", "commit_sha", "n_questions"),
+        f"""with {SQL_C}, {SQL_Q}, t as (select * from c where cross_repo_split = 'train'), g as (select repo_id from t group by 1 having count(*) >= 5 order by md5('4|' || repo_id), repo_id limit 12), k as (select repo_id, commit_index, count(*) as n from q group by 1, 2)
+        select t.repo_id, row_number() over (partition by t.repo_id order by t.commit_index, commit_sha) - 1 as position, commit_sha, coalesce(k.n, 0) as n_questions from t join g using (repo_id) left join k on k.repo_id = t.repo_id and k.commit_index = t.commit_index""",
+    ),
+    "j_arranged_chronological": (_arranged("chronological"), _sql_arranged("seq, path")),
+    "j_arranged_reverse": (_arranged("reverse"), _sql_arranged("seq desc, path")),
+    "j_arranged_alphabetical": (_arranged("alphabetical"), _sql_arranged("path, seq")),
+    "j_arranged_random": (_arranged("random"), _sql_arranged("md5('9|' || seq || '|' || path), path, seq")),
     "j_lists": (
         lambda s, d: joins.lists_per_key(commits(s, d).select("repo_id", "commit_sha"), qna(s, d), ["repo_id", "commit_sha"], "qna_id", "ids").select("commit_sha", F.size("ids").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids")),
         f"with {SQL_C}, {SQL_Q}, g as (select repo_id, commit_sha, list_sort(list(qna_id)) as l from q group by 1, 2) select c.commit_sha, cast(coalesce(len(l), 0) as int) as n, coalesce(array_to_string(l, ','), '') as ids from c left join g using (repo_id, commit_sha)",
