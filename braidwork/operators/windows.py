@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.operators.ordering import positions
+
 
 def split_sizes(n: Column) -> tuple[Column, Column]:
     """Train and validation sizes of the chronological 80/10/10 split of n rows."""
@@ -17,17 +19,16 @@ def split_sizes(n: Column) -> tuple[Column, Column]:
 
 
 def chronological_split(df: DataFrame, group: str, order: Sequence[str], out: str = "split") -> DataFrame:
-    """Label rows train/val/test by position in their group; groups under 3 rows are all train."""
-    ordered = Window.partitionBy(group).orderBy(*order)
+    """Label rows train/val/test by position in their group; groups under 3 rows are all train (W1, W2). Rows without a group are left out."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = df.withColumn("_rn", F.row_number().over(ordered)).join(sizes, group)
+    ranked = positions(df, [group], order, "_at").join(sizes, group).withColumn("_rn", (F.col("_at") + 1).cast("int")).drop("_at")
     train, val = split_sizes(F.col("_n"))
     label = F.when(F.col("_n") < 3, "train").when(F.col("_rn") <= train, "train").when(F.col("_rn") <= train + val, "val").otherwise("test")
     return ranked.withColumn(out, label).withColumn("commit_index", F.col("_rn") - 1).drop("_rn", "_n")
 
 
 def with_previous(df: DataFrame, group: str, order: Sequence[str], column: str, out: str = "previous") -> DataFrame:
-    """The value of the row before in the group; null for the first."""
+    """The value of the row before in the group; null for the first. A group is sorted in one task; `ordering.neighbours` spreads hot ones."""
     return df.withColumn(out, F.lag(column).over(Window.partitionBy(group).orderBy(*order)))
 
 
@@ -66,10 +67,10 @@ def normalised_position(df: DataFrame, group: str, index: str) -> DataFrame:
 
 def percentile_positions(df: DataFrame, group: str, order: Sequence[str], percents: Sequence[int]) -> DataFrame:
     """The rows at round-half-even(p/100 (n-1)) of each group, each once."""
-    ranked = df.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    ranked = positions(df, [group], order, "_at")
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
     wanted = F.array(*(F.bround(F.lit(p / 100.0) * (F.col("_n") - 1)).cast("int") for p in percents))
-    return ranked.join(sizes, group).where(F.array_contains(wanted, F.col("_at"))).drop("_at", "_n")
+    return ranked.join(sizes, group).where(F.array_contains(wanted, F.col("_at").cast("int"))).drop("_at", "_n")
 
 
 def uniform_positions(df: DataFrame, group: str, order: Sequence[str], most: int) -> DataFrame:
@@ -77,18 +78,18 @@ def uniform_positions(df: DataFrame, group: str, order: Sequence[str], most: int
 
     The positions are 0, the last, and floor(i n / most) in order until there are enough.
     """
-    ranked = df.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    ranked = positions(df, [group], order, "_at")
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
     spread = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * F.greatest(F.lit(1.0), F.col("_n") / F.lit(most))).cast("int"))
     some = F.slice(F.array_distinct(F.concat(F.array(F.lit(0), (F.col("_n") - 1).cast("int")), spread)), 1, most)
-    keep = (F.col("_n") <= most) | F.array_contains(some, F.col("_at"))
+    keep = (F.col("_n") <= most) | F.array_contains(some, F.col("_at").cast("int"))
     return ranked.join(sizes, group).where(keep).drop("_at", "_n")
 
 
 def position_split(df: DataFrame, group: str, order: Sequence[str], k: int) -> DataFrame:
     """The first k rows of a group evaluate, the rest train."""
-    at = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return df.withColumn("group_index", at).withColumn("role", F.when(F.col("group_index") < k, "eval").otherwise("train"))
+    placed = positions(df, [group], order, "group_index")
+    return placed.withColumn("group_index", F.col("group_index").cast("int")).withColumn("role", F.when(F.col("group_index") < k, "eval").otherwise("train"))
 
 
 def interleave(df: DataFrame, group: Sequence[str], lane: str, order: Sequence[Column | str], k: int) -> DataFrame:
@@ -147,8 +148,8 @@ def first_seen(df: DataFrame, key: Sequence[str], index: str, out: str = "first_
 def preamble(df: DataFrame, group: str, order: Sequence[str], share: float = 0.1) -> DataFrame:
     """The first max(1, floor(share n)) rows of each group."""
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).join(sizes, group)
-    return ranked.where(F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))).drop("_rn", "_n")
+    ranked = positions(df, [group], order, "_at").join(sizes, group)
+    return ranked.where(F.col("_at") < F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))).drop("_at", "_n")
 
 
 def new_keys(df: DataFrame, group: Sequence[str], order: Sequence[str], keys: str) -> DataFrame:

@@ -63,10 +63,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back, column pruning included."""
+    """Write df as a Parquet table in the shared folder and read it back, column pruning included. The table goes when the application ends, or by `drop_stored`."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
     df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     context = spark.sparkContext
     context._braidwork_stored = [*getattr(context, "_braidwork_stored", []), path]
     return spark.read.schema(df.schema).parquet(path)
