@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from braidwork.session import cut_lineage, stored
 
-LONG_RULE = 16  # tokens a rule must stand for before its repositories are counted
+LONG_RULE = 16  # tokens a rule, or a whole file, must stand for before its repositories are counted: fewer are alike by chance
 SHARED_BY = 3  # repositories that make a long rule shared; two are enough for a whole file
 SHARED_PART = 0.5  # part of a file's tokens, head comments aside, that shared rules must exceed
 LONG_LINE = 120  # characters that make a line of code a long one
@@ -258,7 +258,7 @@ def blob_features(blobs: DataFrame) -> DataFrame:
                 bodies = [s[len(_TOKEN.findall(x[: head_end(x)])) :] for s, x in zip(sequences, texts, strict=True)]
                 rules, spans = zip(*map(start_rules, bodies), strict=True)
                 said = [head_says(x) for x in texts]
-                columns = [part.column(0), [s[0] for s in said], [s[1] for s in said], [minified(x) for x in texts], data_shares(texts), n.astype(np.int32), 1 - size / np.maximum(n, 1), whole, [len(b) for b in bodies], rules, spans]
+                columns = [part.column(0), [s[0] for s in said], [s[1] for s in said], [minified(x) for x in texts], data_shares(texts), n.astype(np.int32), np.where(n > 0, 1 - size / np.maximum(n, 1), 0.0), whole, [len(b) for b in bodies], rules, spans]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return blobs.where("blob_sha is not null").select("blob_sha", "text").mapInArrow(read, FEATURES)
@@ -285,11 +285,11 @@ SIGNALS = ("head_vendored", "minified", "incompressible", "head_generated", "reu
 def blob_signals(rows: DataFrame, features: DataFrame, reuse: float, data: float) -> DataFrame:
     """(blob_sha, one boolean per signal) of blobs with any. rows: (repo_id, blob_sha).
 
-    Rules are counted in one name space: a file's own name, shared by two repositories, makes it
-    vendored, and so do long rules of three or more that make up over SHARED_PART of its tokens.
+    Rules of LONG_RULE tokens or more are counted in one name space: a file's own name, shared by two
+    repositories, makes it vendored, and so do long rules of three or more that make up over SHARED_PART of its tokens.
     """
     long = features.select("blob_sha", "whole", "n_tokens", "n_body", "rules", "spans").dropDuplicates(["blob_sha"])
-    placed = rows.select("repo_id", "blob_sha").distinct().join(long.where("n_tokens > 0"), "blob_sha")
+    placed = rows.select("repo_id", "blob_sha").distinct().join(long.where(F.col("n_tokens") >= LONG_RULE), "blob_sha")
     both = placed.groupBy("whole").agg(F.count_distinct("repo_id").alias("repos")).where("repos >= 2").select("whole")
     shared = placed.select("repo_id", F.explode("rules").alias("rule")).distinct().groupBy("rule").agg(F.count("*").alias("repos")).where(F.col("repos") >= SHARED_BY).select("rule")
     uses = long.select("blob_sha", "n_body", F.explode(F.arrays_zip("rules", "spans")).alias("r")).select("blob_sha", "n_body", F.col("r.rules").alias("rule"), F.col("r.spans").alias("span"))
