@@ -22,22 +22,32 @@ def _query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return queries.select(query_id, F.explode(search_tokens(F.col(text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qf"))
 
 
-def _postings(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((term, doc_id, dl, tf) of the wanted terms, one row of n_docs and avgdl)."""
-    tokens = docs.select(doc_id, search_tokens(F.coalesce(text, F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = tokens.select(doc_id, "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", doc_id, "dl").agg(F.count("*").alias("tf"))
-    return postings, tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+DOCUMENT = "\0"  # stands among the terms of every document once, so that one pass tells their number and length too
 
 
-def _weighed(terms: DataFrame, postings: DataFrame, totals: DataFrame) -> DataFrame:
-    """terms with avgdl and idf = ln((N - df + .5) / (df + .5) + 1); terms that no document holds are left out."""
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    rows = terms.join(df, "term").join(F.broadcast(totals))  # one row beside each
-    return rows.withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+def _postings(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(term, doc_id, dl, tf) of the wanted terms, and of DOCUMENT."""
+    tokens = docs.select(doc_id, search_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
+    words = tokens.select(doc_id, F.size("tokens").alias("dl"), F.explode(F.array_append("tokens", F.lit(DOCUMENT))).alias("term"))
+    kept = wanted.unionByName(wanted.sparkSession.createDataFrame([(DOCUMENT,)], "term string"))
+    return words.join(kept, "term", "left_semi").groupBy("term", doc_id, "dl").agg(F.count("*").alias("tf"))
+
+
+def _share(tf: str, dl: str, avgdl: str) -> Column:
+    return F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / F.col(avgdl)))
+
+
+def _known_terms(postings: DataFrame) -> DataFrame:
+    """(term, avgdl, idf, top): idf = ln((N - df + .5) / (df + .5) + 1), and the most that the term adds to any document per query use."""
+    totals = postings.where(F.col("term") == DOCUMENT).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    rows = postings.where(F.col("term") != DOCUMENT).join(F.broadcast(totals))  # one row beside each
+    per_term = rows.groupBy("term").agg(F.count("*").alias("df"), F.max(_share("tf", "dl", "avgdl")).alias("share"), F.max("n_docs").alias("n_docs"), F.max("avgdl").alias("avgdl"))
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return per_term.select("term", "avgdl", idf.alias("idf"), (idf * F.col("share")).alias("top"))
 
 
 def _part() -> Column:
-    return F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return F.col("qf") * F.col("idf") * _share("tf", "dl", "avgdl")
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text") -> DataFrame:
@@ -47,32 +57,32 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str,
     before they are shuffled. For the best few use `bm25_top_k`.
     """
     terms = _query_terms(queries, query_id, text)
-    postings, totals = _postings(docs, doc_id, text, terms.select("term").distinct())
-    return postings.join(_weighed(terms, postings, totals), "term").groupBy(query_id, doc_id).agg(F.sum(_part()).alias("score"))
+    postings = _postings(docs, doc_id, text, terms.select("term").distinct())
+    return postings.join(terms.join(_known_terms(postings), "term"), "term").groupBy(query_id, doc_id).agg(F.sum(_part()).alias("score"))
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, k: int, text: str = "text", digits: int = 6) -> DataFrame:
     """(query_id, doc_id, score, rank from 0), exact, ties by doc_id after rounding.
 
-    A term adds at most qf x idf x (K1 + 1). A query's terms are ordered by that bound. Scores by the
-    upper part of them give a floor for its k-th best score; terms whose bounds together stay under
-    the floor, the stop words above all, cannot bring a new document among the best. So only documents
-    with another term are candidates, and long lists are joined with candidates instead of paired with queries.
+    What a term adds at most to any document is known from its list. A query's terms are ordered by
+    that bound. Scores by the upper half of them give a floor for its k-th best score; terms whose
+    bounds together stay under the floor, the stop words above all, cannot bring a new document among
+    the best. So only documents with another term are candidates, and long lists are joined with
+    candidates instead of paired with queries.
     """
-    terms = _query_terms(queries, query_id, text)
-    found, totals = _postings(docs, doc_id, text, terms.select("term").distinct())
-    postings = stored(found, "bm25-postings")
-    bound = F.col("qf") * F.col("idf") * (K1 + 1)
-    per_query = Window.partitionBy(query_id).orderBy(F.desc("bound"), "term")
-    weighed = stored(_weighed(terms, postings, totals).withColumn("bound", bound).withColumn("below", F.sum("bound").over(Window.partitionBy(query_id).orderBy("bound", F.desc("term")))).withColumn("place", F.percent_rank().over(per_query)), "bm25-terms")
+    terms = stored(_query_terms(queries, query_id, text), "bm25-terms")
+    postings = stored(_postings(docs, doc_id, text, terms.select("term").distinct()), "bm25-postings")
+    weighed = terms.join(_known_terms(postings), "term").withColumn("bound", F.col("qf") * F.col("top"))
+    below = F.sum("bound").over(Window.partitionBy(query_id).orderBy("bound", F.desc("term")))
+    place = F.percent_rank().over(Window.partitionBy(query_id).orderBy(F.desc("bound"), "term"))
+    weighed = stored(weighed.withColumn("below", below).withColumn("place", place), "bm25-bounds")
     high = postings.join(weighed.where("place <= 0.5"), "term").groupBy(query_id, doc_id).agg(F.sum(_part()).alias("s"))
-    kth = high.withColumn("_r", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("s"), doc_id))).where(F.col("_r") == k).select(query_id, F.col("s").alias("floor"))
+    kth = high.withColumn("_r", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("s"), doc_id))).where(F.col("_r") <= k).groupBy(query_id).agg(F.when(F.count("*") == k, F.min("s")).alias("floor"))
     judged = weighed.join(kth, query_id, "left").withColumn("essential", F.col("below") + 10.0**-digits >= F.coalesce("floor", F.lit(0.0)))
-    judged = stored(judged.select(query_id, "term", "qf", "idf", "avgdl", "essential"), "bm25-judged")
-    core = postings.join(judged.where("essential"), "term").groupBy(query_id, doc_id).agg(F.sum(_part()).alias("s"))
-    core = stored(core, "bm25-candidates")
-    rest = judged.where("not essential").select(query_id, "term", "qf", "idf", "avgdl")
-    more = core.select(query_id, doc_id).join(rest, query_id).join(postings, ["term", doc_id]).select(query_id, doc_id, _part().alias("s"))
+    judged = judged.select(query_id, "term", "qf", "idf", "avgdl", "essential")
+    core = stored(postings.join(judged.where("essential"), "term").groupBy(query_id, doc_id).agg(F.sum(_part()).alias("s")), "bm25-candidates")
+    rest = judged.where("not essential").drop("essential")
+    more = postings.join(rest, "term").join(core.select(query_id, doc_id), [query_id, doc_id], "left_semi").select(query_id, doc_id, _part().alias("s"))
     total = core.unionByName(more).groupBy(query_id, doc_id).agg(F.sum("s").alias("score"))
     best = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", digits)), doc_id)
     return total.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)

@@ -28,11 +28,20 @@ SQL_MATCH = sql_collapse("replace(replace(regexp_replace(" + sql_strip("target")
 SQL_TOKENS = "regexp_extract_all(lower({0}), '[a-zA-Z_][a-zA-Z0-9_]*|\\d+')"
 
 
+def _bm25_sides(s, d):
+    return table(s, d, "documents").where("text is not null"), table(s, d, "heldout_items").where("item_id % 20 = 0"), "doc_id", "item_id"
+
+
 def _bm25(s, d, k=10):
-    found = retrieval.bm25_top_k(table(s, d, "documents").where("text is not null"), table(s, d, "heldout_items").where("item_id % 20 = 0"), "doc_id", "item_id", k)
+    best = Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
+    found = retrieval.bm25_scores(*_bm25_sides(s, d)).withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
     return found.select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
+def _bm25_pruned(s, d, k=10):
+    return retrieval.bm25_top_k(*_bm25_sides(s, d), k).select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
 SQL_BM25 = f"""with d as (select doc_id, {SQL_TOKENS.format('text')} as t from documents where text is not null), n as (select count(*) as n, avg(len(t)) as avgdl from d),
     p as (select doc_id, len(t) as dl, unnest(t) as term from d), f as (select doc_id, dl, term, count(*) as tf from p group by all), df as (select term, count(*) as df from f group by 1),
     q as (select item_id, unnest({SQL_TOKENS.format('text')}) as term from heldout_items where item_id % 20 = 0), g as (select item_id, term, count(*) as qf from q group by all),
@@ -210,6 +219,7 @@ PAIRS = {
         "with v as (select i, var_pop(embedding[i]::double) as v from embeddings, range(1, 65) r(i) group by i) select (select count(*) * 64 from embeddings) as n, round(sum(v), 3) as variance from v",
     ),
     "r_bm25": (_bm25, SQL_BM25),
+    "r_bm25_pruned": (_bm25_pruned, SQL_BM25),
     "r_dense_top_k": (_dense, SQL_DENSE),
     "r_fused": (_fused, SQL_FUSED),
     "r_packed_context": (
