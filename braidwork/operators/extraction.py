@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.session import spread
+
 # The assertion methods of unittest.
 UNITTEST = "assertEqual assertNotEqual assertTrue assertFalse assertIs assertIsNot assertIsNone assertIsNotNone assertIn assertNotIn assertIsInstance assertNotIsInstance assertRaises assertRaisesRegex assertWarns assertWarnsRegex assertLogs assertAlmostEqual assertNotAlmostEqual assertGreater assertGreaterEqual assertLess assertLessEqual assertRegex assertNotRegex assertCountEqual assertMultiLineEqual assertSequenceEqual assertListEqual assertTupleEqual assertSetEqual assertDictEqual"
 _METHODS = frozenset(UNITTEST.split())
@@ -229,7 +231,7 @@ def exploded(df: DataFrame, keys: Sequence[str], text: str, function: Callable[.
                 rows += [(*key, *r) for r in (function(key[keys.index(with_key)], value) if with_key else function(value))]
             yield pd.DataFrame(rows, columns=names)
 
-    return df.select(*keys, text).mapInPandas(run, schema)
+    return spread(df.select(*keys, text)).mapInPandas(run, schema)
 
 
 def source_assertions(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:

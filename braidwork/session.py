@@ -62,6 +62,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer partitions than there are cores; for work in Python that follows.
+
+    A file of a few megabytes is one task otherwise. Rows are the same either way; inputs with more
+    partitions, and those that were shuffled already, stay as they are.
+    """
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back, column pruning included. The table goes when the application ends, or by `drop_stored`."""
     spark = df.sparkSession
