@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.session import spread
+
 LIMIT, OVERLAP = 4000, 200
 FILE, HUNK, LINE, LINE_END, FORCED = 4, 3, 2, 1, 0
 KIND = {FILE: "file", HUNK: "hunk", LINE: "line", LINE_END: "line", FORCED: "forced"}
@@ -140,7 +142,7 @@ def split_texts(df: DataFrame, row_id: str = "commit_sha", text: str = "producti
             columns = list(zip(*rows, strict=True)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return df.select(row_id, text).where(F.char_length(text) > limit).mapInArrow(cut, SCHEMA)
+    return spread(df.select(row_id, text).where(F.char_length(text) > limit)).mapInArrow(cut, SCHEMA)
 
 
 def cut_kinds(commits: DataFrame) -> DataFrame:

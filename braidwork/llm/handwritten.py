@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.session import cut_lineage, stored
+from braidwork.session import cut_lineage, spread, stored
 
 LONG_RULE = 16  # tokens a rule, or a whole file, must stand for before its repositories are counted: fewer are alike by chance
 SHARED_BY = 3  # repositories that make a long rule shared; two are enough for a whole file
@@ -261,7 +261,7 @@ def blob_features(blobs: DataFrame) -> DataFrame:
                 columns = [part.column(0), [s[0] for s in said], [s[1] for s in said], [minified(x) for x in texts], data_shares(texts), n.astype(np.int32), np.where(n > 0, 1 - size / np.maximum(n, 1), 0.0), whole, [len(b) for b in bodies], rules, spans]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return blobs.where("blob_sha is not null").select("blob_sha", "text").mapInArrow(read, FEATURES)
+    return spread(blobs.where("blob_sha is not null").select("blob_sha", "text")).mapInArrow(read, FEATURES)
 
 
 def _dirs(names: str) -> str:

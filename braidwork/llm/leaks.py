@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.llm.lookalike import skeleton
-from braidwork.session import stored
+from braidwork.session import spread, stored
 
 WINDOW = 15
 RARE = 3  # terms of a window that must be found in their places before its words are compared
@@ -94,7 +94,7 @@ def positional_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "
         if ids:
             yield _shard(ids, numbers, lists)
 
-    return documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), text).mapInArrow(build, INDEX_SQL)
+    return spread(documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long"), text)).mapInArrow(build, INDEX_SQL)
 
 
 def _columns(batch: pa.RecordBatch, row: int) -> dict[str, np.ndarray]:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.session import cut_lineage, stored
+from braidwork.session import cut_lineage, spread, stored
 
 # Letters that look like the Latin letter in front.
 CYRILLIC = "aа eе oо pр cс yу xх sѕ iі jј hһ dԁ qԛ wԝ lӏ AА BВ EЕ KК MМ HН OО PР CС TТ XХ YУ SЅ IІ JЈ GԌ WԜ"
@@ -235,7 +235,7 @@ def folded_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat, pa.string())], schema=schema)
 
     narrow = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(text).alias("text_md5"), F.col(text).alias("text"))
-    return narrow.mapInArrow(fold, "doc_id long, text_md5 string, flat string")
+    return spread(narrow).mapInArrow(fold, "doc_id long, text_md5 string, flat string")
 
 
 def bigram_model(folded: DataFrame) -> dict[tuple[str, str], int]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.session import stored
+from braidwork.session import spread, stored
 
 CAPACITY = 1024
 TOKENIZERS = "/opt/tokenizers"
@@ -59,7 +59,7 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
             n = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_tokens long")
+    return spread(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(count, "doc_id long, n_tokens long")
 
 
 def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.session import stored
+from braidwork.session import spread, stored
 
 DIMENSION = 64
 SHARD_ROWS = 4_096  # vectors in a shard, about; no task holds more than SHARD_ROWS * 2
@@ -171,7 +171,7 @@ def usable_vectors(df: DataFrame, field: str, row_id: str = "commit_sha") -> Dat
             cls = pa.array([xxhash.xxh3_64_intdigest(p) - (1 << 63) for p in packed], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[whole])), cls, pa.array(packed, pa.binary())], schema=schema)
 
-    return df.where(F.col(row_id).isNotNull() & F.col(field).isNotNull()).select(row_id, field).mapInArrow(keep, "row_id string, cls long, vec binary")
+    return df.where(F.col(row_id).isNotNull() & F.col(field).isNotNull()).select(row_id, field).transform(spread).mapInArrow(keep, "row_id string, cls long, vec binary")
 
 
 def fit_router(classes: DataFrame, n: int) -> Router:
