@@ -85,9 +85,17 @@ def read_blob_dumps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInPandas(parse, "blob_sha string, text string")
 
 
+def _mounted(folder: str) -> str:
+    """The path of a folder that executors open as files: a mounted share."""
+    path = folder.removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"{folder} is no mounted folder")
+    return path
+
+
 def write_blob_dumps(blobs: DataFrame, folder: str) -> int:
     """Dump (blob_sha, text), a file a task, into a folder that all executors share; returns the number of files."""
-    local = folder.removeprefix("file:")
+    local = _mounted(folder)
 
     def dump(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -110,7 +118,7 @@ def write_sqlite(df: DataFrame, folder: str, table: str, key: Sequence[str], fil
     A key always belongs to the same file and a file to one task, so no two tasks write to one; each
     task is one transaction. Of rows with one key in df, any may stay.
     """
-    local = folder.removeprefix("file:")
+    local = _mounted(folder)
     names = df.columns
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +147,7 @@ def read_sqlite(spark: SparkSession, paths: Sequence[str], query: str, ddl: str)
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path in frame.path:
-                connection = sqlite3.connect(f"file:{path.removeprefix('file:')}?mode=ro", uri=True)
+                connection = sqlite3.connect(f"file:{_mounted(path)}?mode=ro", uri=True)
                 cursor = connection.execute(query)
                 while rows := cursor.fetchmany(10_000):
                     yield pd.DataFrame(rows, columns=names)

@@ -238,3 +238,24 @@ def test_best_by_bm25_are_exact(spark):
     want = {(i, k): (doc, -s) for i, rows in every.items() for k, (s, doc) in enumerate(sorted(rows)[:7])}
     assert got == want and len(want) == 21
     assert retrieval.bm25_top_k(d.where("false"), q, "doc_id", "item_id", 7).count() == 0
+
+
+def test_small_scans_are_spread_and_others_left(spark, tmp_path):
+    from braidwork.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    wide = spread(one)
+    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and wide.distinct().count() == 100
+    many = spark.range(0, 100, 1, 9)
+    assert spread(many) is many
+    shuffled = one.groupBy("id").count()
+    assert spread(shuffled) is shuffled
+
+
+@pytest.mark.parametrize("name", ["x_metric_struct", "z_evaluated_walk", "e_contextual", "e_condensed", "e_next_blocks", "f_test_content", "r_compressed"])
+def test_queries_without_sql_give_rows(spark, name):
+    from braidwork.plans import catalog
+
+    rows = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert rows and name not in catalog.ORACLE
