@@ -618,6 +618,49 @@ def test_leaks_through_disguises(spark):
     assert leaks.leaks(d.where("false"), h).count() == 0 and leaks.leaks(d, h.where("false")).count() == 0
 
 
+def brute_proximity(docs, items, slop, least):
+    """Windows of items in documents, by counts over all readings, place by place."""
+    read = [(i, r) for i, t in docs for r in (leaks.readings(t) if t else [])]
+    counts = Counter(w for _, r in read for w in r)
+    found = {}
+    for item, text in items:
+        words = leaks.readings(text)[0]
+        for begin in range(len(words) - 14):
+            window = words[begin : begin + 15]
+            rare = [k for k in sorted(range(15), key=lambda k: (counts[window[k]], k)) if counts[window[k]]][:3]
+            if len(rare) < 3:
+                continue
+            for doc, r in read:
+                near = lambda k, at: any(0 <= at + k + s < len(r) and r[at + k + s] == window[k] for s in range(-slop, slop + 1))
+                for place, word in enumerate(r):
+                    at = place - rare[0]
+                    if word == window[rare[0]] and all(near(k, at) for k in rare[1:]):
+                        n = sum(near(k, at) for k in range(15))
+                        if n >= least:
+                            found[doc, item] = max(found.get((doc, item), 0), n)
+    return found
+
+
+def test_proximity_equals_brute_force_however_sharded(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(80)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(15, 30)))) for k in range(6)]
+    docs = []
+    for k in range(60):
+        words = items[k % 6][1].split()
+        words = [rng.choice(["zz", rng.choice(vocabulary)]) if rng.random() < 0.12 else w for w in words]
+        if rng.random() < 0.5:
+            words.insert(rng.randrange(len(words)), "extra")
+        docs.append((k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 20))) + " " + " ".join(words)))
+    docs += [(100, None), (101, ""), (102, items[0][1])]
+    want = brute_proximity(docs, items, 2, 9)
+    assert len(want) > 20
+    d, h = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for parts in (1, 7):
+        got = {(r.doc_id, r.item_id): r.n_words for r in leaks.leaks(d.repartition(parts), h, slop=2, least=9).collect()}
+        assert got == want
+
+
 # Problem 10
 
 
