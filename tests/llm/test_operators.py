@@ -226,6 +226,39 @@ def test_languages_by_trigrams(spark):
     assert [model.english(t.split()) for t in foreign] == [-1] * len(foreign)
 
 
+def test_defects_judge_all_rows(spark):
+    """Every pair is planted and every labelled document counted, at sizes where a sample used to be taken; redelivered pairs count once."""
+    pairs = spark.range(9_000).selectExpr("id as qna_id", "'def t():\\n    assert x == ' as prefix", "concat('value_', id) as target", "'assert' as assertion_type")
+    docs = spark.range(12_000).selectExpr("id as doc_id", "if(id % 20 = 0, 'de', 'en') as lang", "if(id % 20 = 0, concat('der Wert wird im Speicher geprüft und bleibt unbekannt ', repeat(char(97 + int(id / 20) % 26), 3)), concat('the value of the cache is written again ', repeat(char(97 + id % 26), 4))) as text")
+    model, brute = defects.fit_languages(docs), {lang: np.zeros(defects.SLOTS) for lang in ("en", "de")}
+    for r in docs.collect():
+        np.add.at(brute[r.lang], defects.trigram_slots(defects._PROSE_WORD.findall(r.text)), 1)
+    assert np.array_equal(model.by_slot, defects.Languages(brute).by_slot)
+    assert {r.call: r.n for r in defects.passage_votes(docs, model).groupBy("call").agg(F.sum("n").alias("n")).collect()} == {"0": 600, "1": 600}
+    assert {r.defect: r.n_planted for r in defects.validation_report(pairs.unionByName(pairs.where("qna_id < 500")), docs).collect()} == {"empty": 9_000, "refusal": 9_000, "language": 9_000, "copy": 9_000, "truncated": 0}
+
+
+def test_languages_beyond_the_modelled_share_a_model_and_long_texts_count_whole(spark):
+    rows = [(f"l{i % 80:02d}", f"zq{i % 80} vowel text") for i in range(240)] + [("en", "the value is " * 40_000)]
+    model, brute = defects.fit_languages(spark.createDataFrame(rows, "lang string, text string")), {}
+    for lang, text in sorted(rows):
+        slots = defects.trigram_slots(defects._PROSE_WORD.findall(text))
+        np.add.at(brute.setdefault(lang if lang <= "l62" else "other", np.zeros(defects.SLOTS)), slots, 1)
+    assert len(brute) == defects.MOST_LANGUAGES + 1
+    assert np.array_equal(model.by_slot, defects.Languages(brute).by_slot)
+
+
+def test_repeated_documents_give_the_same_languages():
+    rng = np.random.default_rng(4)
+    counts = {lang: rng.poisson(rng.gamma(0.05, 4_000, defects.SLOTS)).astype(float) for lang in ("en", "de")}
+    assert np.allclose(defects.Languages(counts).by_slot, defects.Languages({k: 1_000 * n for k, n in counts.items()}).by_slot)
+
+
+@given(st.text("'\"\\()[]{}ab# ", max_size=24))
+def test_open_prefixes_equal_scans_of_every_prefix(line):
+    assert defects.open_prefixes(line) == [k for k in range(1, len(line)) if defects.scan(line[:k]) not in (("", ""), ("!", ""))]
+
+
 def test_label_model_recovers_voters():
     rng = np.random.default_rng(1)
     truth = rng.random(20_000) < 0.05
